@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality
+from . import bpe, exact_dedup, quality, sst
 from .common import table
 
 
@@ -14,11 +14,33 @@ def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+def vocabulary() -> str:
+    """Place of the public vocabulary file that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = sst.through_shards(table(spark, sf_dir, "documents"), vocabulary())
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op5_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
