@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, sst
-from .common import table
+from . import bpe, exact_dedup, langid, quality, sst
+from .common import held_out, table
 
 
 def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup)}
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit_on(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup, op6_language_crf)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
