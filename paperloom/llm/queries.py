@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, quality, sst
+from . import bpe, exact_dedup, langid, quality, sst, warc
 from .common import held_out, table
 
 
@@ -46,7 +46,12 @@ def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup, op6_language_crf)}
+def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.through_archives(table(spark, sf_dir, "pages"))
+    return rows.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup, op6_language_crf, op7_warc_chunks)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
@@ -54,4 +59,11 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op7_warc_chunks": """
+        WITH n AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        w AS (SELECT *, strlen(t) AS b, max(page_id) OVER (PARTITION BY t) AS top FROM n)
+        SELECT page_id, b AS payload_bytes, sha1(t) AS payload_digest,
+               CASE WHEN b >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN b >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM w""",
 }
