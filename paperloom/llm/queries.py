@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, minhash, quality, sst, warc
+from . import bpe, exact_dedup, langid, minhash, quality, sst, substrings, warc
 from .common import held_out, table
 
 
@@ -51,12 +51,23 @@ def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.clusters(table(spark, sf_dir, "documents"), size=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup, op6_language_crf, op7_warc_chunks, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup, op6_language_crf, op7_warc_chunks, op8_repeated_substrings, op10_minhash_near_dedup)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
