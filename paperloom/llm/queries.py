@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, minhash, quality, sst, substrings, warc
+from . import bpe, decontaminate, exact_dedup, langid, minhash, pii, quality, sst, substrings, warc
 from .common import held_out, table
 
 
@@ -14,6 +14,11 @@ def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "coverage", "exact")
+
+
 def vocabulary() -> str:
     """Place of the public vocabulary file that the contracts name."""
     import public_tokenizers
@@ -62,12 +67,17 @@ def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonyms(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "text", F.size("found").alias("n_found"), F.array_sort(F.array_distinct("found.kind")).alias("kinds"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.clusters(table(spark, sf_dir, "documents"), size=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup, op6_language_crf, op7_warc_chunks, op8_repeated_substrings, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_template_decontamination, op3_bpe_prefix_dp, op4_token_sst, op5_exact_dedup, op6_language_crf, op7_warc_chunks, op8_repeated_substrings, op9_feistel_pseudonyms, op10_minhash_near_dedup)}
 
 ORACLES = {
     "op5_exact_dedup": r"""

@@ -27,6 +27,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -46,7 +47,9 @@ from .common import shuffle_width, stored, work_dir
 MAGIC = b"PLSST001"
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 1 << 18, 10, 7
 #: Words whose ids a worker keeps, and rows it sends on at once.
-WORDS, ROWS = 400_000, 500
+WORDS, ROWS = 1_000_000, 500
+#: Stands between the words that go to the library together, and how many do.
+_MARK, _TOGETHER = "\x7f", 20
 #: Id after each document.
 END_ID = 2
 
@@ -196,8 +199,9 @@ class LibraryEncoder:
     """The tokenizers library's ids of whole texts.
 
     The vocabulary's normalisation and word pattern do not cross white space, so each
-    white-space-delimited word goes to the library once and its ids are kept. Texts that hold a
-    special token's string, or odd separators, go to the library whole.
+    white-space-delimited word goes to the library once and its ids are kept. New words go
+    there some at a time, with a mark of one id between them. Texts that hold the mark, a special
+    token's string or odd separators go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -209,20 +213,32 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.together = _TOGETHER if len(mark) == 1 else 1
+        self.mark = mark[0] if mark else -1
+        self._odd = re.compile("|".join(["[\x1c-\x1f\x7f]", *map(re.escape, self.special)]))
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        step, between = self.together, f" {_MARK} "
+        for i, ids in enumerate(self._library([between.join(new[i : i + step]) for i in range(0, len(new), step)])):
+            raw, at, part = ids.tobytes(), 0, []
+            for cut in np.flatnonzero(ids == self.mark).tolist() if step > 1 else ():
+                part.append(raw[at : 4 * cut])
+                at = 4 * cut + 4
+            self.words.update(zip(new[i * step : (i + 1) * step], [*part, raw[at:]], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(c in t for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.special)) for t in texts]
+        whole = [bool(self._odd.search(t)) for t in texts]
         split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
         if len(self.words) > WORDS:
             self.words.clear()
-        words = self.words
-        new = [*{w for s in split for w in s if w not in words}]
-        words.update(zip(new, self._library(new), strict=True))
+        self._learn([*set().union(*split).difference(self.words)])
+        get = self.words.__getitem__
         odd = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [next(odd) if w else b"".join([*map(words.__getitem__, s)]) for s, w in zip(split, whole, strict=True)]
+        return [next(odd).tobytes() if w else b"".join(map(get, s)) for s, w in zip(split, whole, strict=True)]
 
 
 @lru_cache(2)
