@@ -189,14 +189,14 @@ def _email(key: bytes, found: str, back: bool) -> str | None:
 
 
 def _secret(key: bytes, found: str, back: bool) -> str | None:
-    mark = re.match(r"(?i)AKIA|ASIA|sk_(?:live|test)_|ghp_|[a-z_]*(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?", found)
+    mark = re.match(r"(?i)AKIA|ASIA|sk_(?:live|test)_|ghp_|[a-z_]*(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\x22']?", found)
     return found[: mark.end()] + _letters(key, "secret", found[mark.end() :], back)
 
 
 #: Kinds in the order in which they are tried at a place.
 KINDS: dict[str, tuple[str, Callable]] = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    "secret": (r"(?i:[a-z_]*(?:password|passwd|secret|token|api_?key)\s*[=:]\s*["']?)[A-Za-z0-9+/_-]{6,}|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bsk_(?:live|test)_[A-Za-z0-9]{16,}|\bghp_[A-Za-z0-9]{30,}", _secret),
+    "secret": (r"(?i:[a-z_]*(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\x22']?)[A-Za-z0-9+/_-]{6,}|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bsk_(?:live|test)_[A-Za-z0-9]{16,}|\bghp_[A-Za-z0-9]{30,}", _secret),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     "phone": (r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d)", _phone),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
