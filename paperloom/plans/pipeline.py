@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import classify, layout, rules, scoring, templates, vision
 from ..operators.answers import document_metrics
 from ..sources.decoders import detect
+from ..sources.shared import cut
 from ..sources.sinks import json_documents, markdown_documents
 
 
@@ -32,28 +33,28 @@ def match(tables: layout.Layout, versions: DataFrame) -> DataFrame:
 def text_path(tables: layout.Layout) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(canonical questions, issues, exported questions, notes) of documents with a text template."""
     exported, notes = layout.parse(tables)
-    questions = layout.to_canonical(exported, tables.pages)
+    questions = cut(layout.to_canonical(exported, tables.pages))
     embedded = tables.images.join(classify.question_pages(tables.pages).select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
-    issues = rules.run_rules(questions, document_metrics(exported, embedded))
+    issues = cut(rules.run_rules(questions, document_metrics(exported, embedded)))
     return scoring.question_confidence(questions, issues), issues, exported, notes
 
 
 def vision_path(pages: DataFrame, detector: str = "mock") -> tuple[DataFrame, DataFrame]:
     """(questions, issues) of documents with a vision template; flagged ones are detected again."""
     layouts = vision.sanitise(detect(pages, detector).drop("error"))
-    rows = vision.attributed(layouts)
-    questions = vision.assemble(rows)
+    rows = cut(vision.attributed(layouts))
+    questions = cut(vision.assemble(rows))
     flagged = vision.select_for_escalation(questions, vision.dropped_warnings(rows), rules.option_issues(questions))
     again = vision.escalate(questions.join(flagged.select("question_id"), "question_id", "left_semi"), layouts)
-    questions = questions.join(flagged.select("question_id"), "question_id", "left_anti").unionByName(again.select(*questions.columns))
-    issues = rules.run_rules(questions)
+    questions = cut(questions.join(flagged.select("question_id"), "question_id", "left_anti").unionByName(again.select(*questions.columns)))
+    issues = cut(rules.run_rules(questions))
     return scoring.question_confidence(questions, issues), issues
 
 
 def process(tables: layout.Layout, versions: DataFrame, detector: str = "mock") -> Outcome:
     """Each document goes the way of its best template; without one it has no questions, which is no error."""
     ranked = match(tables, versions)
-    best = ranked.where("matched").select("document_id", "kind", "template_id", "version")
+    best = cut(ranked.where("matched").select("document_id", "kind", "template_id", "version"))
 
     def of(kind: str) -> layout.Layout:
         ids = best.where(F.col("kind") == kind).select("document_id")
