@@ -12,7 +12,8 @@ Texts are cut into white-space-delimited words, which neither normalisation nor
 word pattern crosses; words and their pieces are kept in bounded caches.
 
 Defined results: a null text counts as empty and has no ids; special tokens' strings in a text
-become their ids; a text of any length is encoded whole. Rows keep their ids, repeated or null.
+become their ids; a text of any length is encoded whole. Rows keep their ids, repeated or null. Case and
+composition are Python's own, of Unicode 15.1: later letters with case may differ from the library's.
 """
 
 from __future__ import annotations
@@ -36,7 +37,18 @@ WORDS, PIECES, PAIRS = 400_000, 400_000, 1_000_000
 ROWS = 500
 # Fixed values of the vocabulary file's kind: its word pattern, its white space, its end mark.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+"
+# Letters and numbers of Unicode versions after the library's own, which it doesn't know as such.
+_NEWER = (
+    r"\U00000558\U0000058b-\U0000058c\U0000088f\U00000c5c\U00000cdc\U0000208f\U0000209d-\U0000209f\U0000a7ce-\U0000a7cf\U0000a7d2\U0000a7d4"
+    r"\U0000a7dd\U0000a7e2\U0000a7f1\U0000ab6c-\U0000ab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee"
+    r"\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    r"\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U00016ff4-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    r"\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479"
+    r"\U0003d000-\U0003fc3f"
+)
+PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[^\P{{L}}{_NEWER}]+|[^\P{{N}}{_NEWER}]|(?:[^{_WHITE}\p{{L}}\p{{N}}]|[{_NEWER}])+"
 SPACE = rf"[{_WHITE}]+"
 WORD_END = "</w>"
 _MARK = "\n"
