@@ -6,6 +6,7 @@ import sys
 import pytest
 
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])  # for Python workers
 SF = "/root/testdata/sf0.001"
 
 
@@ -27,3 +28,15 @@ def sql():
     from compare import connect
 
     return connect(SF)
+
+
+@pytest.fixture(scope="module")
+def small_plans(spark):
+    """Tables of a few rows: compiling would take longer than running."""
+    confs = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)

@@ -105,7 +105,13 @@ def test_retrying():
 
 
 def test_detector_failure_is_a_row(spark):
-    decoders.register_detector("flaky", _Flaky)
+    class Flaky:
+        def detect_layout(self, document_id, page):
+            if page == 2:
+                raise RuntimeError("no page 2")
+            return {"regions": [{"region_id": "r", "region_type": "diagram", "bbox": {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}, "question_number_hint": None, "option_label_hint": None, "contains_visual": True, "confidence": 0.7}], "reading_order": ["r"]}
+
+    decoders.register_detector("flaky", Flaky)
     pages = spark.createDataFrame([("d", n) for n in (1, 2, 3)], "document_id string, page_number int")
     got = {r["page_number"]: r for r in decoders.detect(pages, "flaky").collect()}
     assert len(got) == 3 and "no page 2" in got[2]["error"] and got[1]["error"] is None and got[1]["regions"][0]["region_id"] == "r"
@@ -113,13 +119,6 @@ def test_detector_failure_is_a_row(spark):
         decoders.detect(pages, "nothing")
 
 
-class _Flaky:
-    def detect_layout(self, document_id, page):
-        if page == 2:
-            raise RuntimeError("no page 2")
-        return {"regions": [{"region_id": "r", "region_type": "diagram", "bbox": {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}, "question_number_hint": None, "option_label_hint": None, "contains_visual": True, "confidence": 0.7}], "reading_order": ["r"]}
-
-
 def test_crops(spark, tmp_path):
     white = np.full((100, 100), 255, np.uint8)
     clipped, clean, small = white.copy(), white.copy(), white[:10].copy()
@@ -170,7 +169,7 @@ def test_exports(spark, tmp_path):
     assert sinks.lookup(spark.read.parquet(str(tmp_path / "t")), question_number=1).count() == 2
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, small_plans, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
     for n in (1, 2, 3):
