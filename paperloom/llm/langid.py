@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,22 +37,40 @@ SAMPLE, SAMPLE_BYTES = 400, 65536
 #: Words of a training sequence, sequences cut from a text, forms in the lexicon, hashed features.
 SPAN, CUTS, LEXICON, BUCKETS = 40, 6, 20_000, 1 << 17
 UNKNOWN = "und"
-#: Forms whose scores a worker keeps, words scanned at once, and words of a block of the scan.
-FORMS, GROUP, BLOCK = 300_000, 200_000, 64
+#: Forms whose scores a worker keeps, words scanned at once, words of a block of the scan, and feature names kept.
+FORMS, GROUP, BLOCK, GRAMS = 600_000, 200_000, 64, 200_000
 _SPLICED = 0.35
 
 
-def features(word: str, lexicon: set[str]) -> list[int]:
+class _Buckets(dict):
+    """Hash buckets of feature names; starts anew at its bound."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= GRAMS:
+            self.clear()
+        b = self[name] = zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS
+        return b
+
+
+_buckets = _Buckets()
+
+
+def letters_of(word: str) -> str:
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
+
+
+def features(letters: str, lexicon: set[str]) -> list[int]:
     """Hashed features of a word's letters."""
-    w = "".join(c for c in word.lower() if c.isalpha())
-    if not w:
+    if not letters:
         return []
-    p = f"^{w}$"
-    names = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)]
-    names += [f"g{p[i : i + k]}" for k in (2, 3) for i in range(len(p) - k + 1)]
+    p, w = f"^{letters}$", letters
+    names = ["p" + w[:1], "p" + w[:2], "p" + w[:3], "s" + w[-1:], "s" + w[-2:], "s" + w[-3:]]
+    n = len(p)
+    names += [p[i : i + 2] for i in range(n - 1)]
+    names += [p[i : i + 3] for i in range(n - 2)]
     if w in lexicon:
-        names.append(f"w{w}")
-    return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in dict.fromkeys(names)]
+        names.append(f"w {w}")
+    return [*map(_buckets.__getitem__, names)]
 
 
 @dataclass
@@ -77,20 +96,27 @@ class CrfModel:
         self._scores = np.zeros((1024, len(self.langs)), dtype=np.float32)
         self._letters = np.zeros(1024, dtype=np.float32)
 
-    def _learn_form(self, word: str) -> int:
-        at = len(self._known)
-        if at == len(self._scores):
+    def _learn_forms(self, words: list[str]) -> None:
+        """Scores of new forms, all at once."""
+        at, end = len(self._known), len(self._known) + len(words)
+        while end > len(self._scores):
             self._scores = np.vstack([self._scores, np.zeros_like(self._scores)])
             self._letters = np.concatenate([self._letters, np.zeros_like(self._letters)])
-        f = features(word, self.lexicon)
-        self._scores[at] = self.weights[f].sum(axis=0) / max(1, len(f)) ** 0.5 if f else 0
-        self._letters[at] = sum(map(str.isalpha, word))
-        self._known[word] = at
-        return at
+        clean = [*map(letters_of, words)]
+        found = [features(w, self.lexicon) for w in clean]
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        self._letters[at:end] = np.fromiter(map(len, clean), np.float32, len(clean))
+        full = np.flatnonzero(lens)
+        if len(full):
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(lens.sum()))
+            starts = np.concatenate([[0], np.cumsum(lens[full])[:-1]])
+            self._scores[at + full] = np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(lens[full])[:, None]
+        self._scores[at + np.flatnonzero(lens == 0)] = 0
+        self._known.update(zip(words, range(at, end), strict=True))
 
     def _forms(self, words: list[str]) -> np.ndarray:
-        known, learn = self._known, self._learn_form
-        return np.array([known[w] if w in known else learn(w) for w in words], dtype=np.int64)
+        self._learn_forms([*set(words).difference(self._known)])
+        return np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
 
     def posteriors(self, words: list[str], opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of each word's languages, and its letters; ``opens``: where texts begin."""
@@ -213,7 +239,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, seed: int = 7) -> C
             at = rnd.randrange(max(1, len(words) - SPAN + 1))
             cut = words[at : at + SPAN]
             pool[names.index(lang)].append(cut)
-            counts.update("".join(ch for ch in w.lower() if ch.isalpha()) for w in cut)
+            counts.update(map(letters_of, cut))
     lexicon = {w for w, n in counts.most_common(LEXICON) if n > 2 and w}
     known = [i for i in pool if pool[i]]
     model = CrfModel(names, np.zeros((BUCKETS, len(names)), np.float32), np.zeros((len(names),) * 2), np.zeros(len(names)), lexicon)
@@ -237,7 +263,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, seed: int = 7) -> C
         for w in words:
             if w not in index:
                 index[w] = len(rows)
-                rows.append(np.array(features(w, lexicon), dtype=np.int64))
+                rows.append(np.array(features(letters_of(w), lexicon), dtype=np.int64))
     w, trans, start = np.zeros((BUCKETS, len(names))), np.zeros((len(names),) * 2), np.zeros(len(names))
     gw, gt, gs = np.full(w.shape, 1e-2), np.full(trans.shape, 1e-2), np.full(start.shape, 1e-2)
     for epoch in range(epochs):
