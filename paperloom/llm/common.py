@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,10 +28,13 @@ def work_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and returns the reread table.
 
-    This cuts the lineage: a lost executor costs no more than the tasks that it ran.
+    This cuts the lineage: a lost executor costs no more than the tasks that it ran. The files of
+    shuffles that the rows went through are then unused, and Spark drops them with the garbage.
     """
     path = f"{folder}/{name}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,12 +5,16 @@ bins keeps its smallest hash; an empty bin takes over that of a full bin which a
 sequence of its own picks (optimal densification). Bands of ``ROWS`` bins give bucket keys.
 
 Texts with the same shingle set are one class, so copies cost one row. In each bucket only edges
-between a centre and the other members are candidates, a star: in the first round the smallest
-member is the centre. Candidates are confirmed on the full shingle sets and linked classes
-joined into components. While a bucket still holds members of several components, further members
-become centres, three times as many as so far in each round, and only pairs that lie in different
-components and weren't compared before are. A bucket whose members are all linked is done after
-one star, whatever its size, and yet no link between classes of a bucket is missed.
+between a centre and the other members are candidates, a star; the centre is the member that
+shares most buckets with others, which in a group of edited copies is the text nearest to their source.
+Candidates are confirmed on the full shingle sets.
+
+A star alone would miss two members that are like each other and unlike the centre. These are found
+without comparing all pairs: for sets x and y with differences X and Y to the centre's set, the
+sets differ in just the elements in which X and Y differ. Like sets differ in few elements, so X
+and Y share most, and hence share one of their first elements in any fixed order (prefix filter, with
+lengths from the sizes of X and Y). Elements that the centre lacks come first: they're rare. So
+no link between classes of a bucket is missed, and copies edited apart are never paired.
 
 Defined results: words are cut at ASCII white space, A-Z lower-cased; a text with fewer words than
 a shingle is one shingle; a text without words, or null, has an empty set and links with nothing.
@@ -26,9 +30,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import stored, work_dir
 from .components import components
@@ -143,15 +146,59 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, text_col: str = "text
     return rows.dropDuplicates(["node"])  # a row may be there several times
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidate edges (a, b) whose full sets are similar enough."""
+def star_edges(members: DataFrame) -> DataFrame:
+    """Distinct edges (a: centre, b) of each bucket (key, node, m: its size)."""
+    weight = members.groupBy("node").agg(F.sum(F.col("m") - 1).alias("w"))
+    centre = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("a"))
+    return members.join(centre, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate edges (a, b) with the sizes of their full sets (na, nb) and of what both have (both)."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     pairs = edges.join(right, "b").join(left, "a")
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    may = 100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
-    return pairs.where(may & (100 * both >= percent * union)).select("a", "b")
+    return pairs.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+
+
+def _like(percent: int):
+    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+
+
+def unlike_centre(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Candidate edges between members of a star of which one at least isn't like the centre.
+
+    Like sets differ in ``most`` elements at most; o of the elements in which x and y differ from the
+    centre are then the same, o = (dx + dy - most) / 2, and the first dx - o + 1 and dy - o + 1 of them
+    have one in common. An unlike x differs from the centre in more than ``most`` elements, so
+    of y no more than about half of its differences are needed.
+    """
+    share = (100 - percent) / (100 + percent)
+    unlike = stars.where(~_like(percent)).select("a").distinct()
+    near = stars.join(unlike, "a").withColumn("unlike", ~_like(percent))
+    label = labels.select(F.col("node").alias("b"), "label")
+    near = near.join(label, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    full = near.join(right, "b").join(left, "a")
+    apart = F.concat(F.sort_array(F.array_except("sb", "sa")), F.sort_array(F.array_except("sa", "sb")))
+    most = F.floor(share * F.col("nb") * (1 + 100 / percent) + 1e-6).cast("int")
+    rows = full.select("a", "b", F.col("nb").alias("n"), "unlike", "label", F.col("na").alias("nc"), F.slice(apart, F.lit(1), most + 1).alias("first"), F.size(apart).alias("d"))
+    half = F.floor(F.col("d") * (1 + share) / 2 + 1e-6).cast("int") + 1
+    one = F.when(F.col("unlike"), F.col("first")).otherwise(F.slice("first", F.lit(1), half))
+    rows = stored(rows.select("a", "b", "n", "d", "unlike", "label", F.posexplode(one).alias("pos", "element")), folder, "differences")
+    x = rows.where("unlike").select("a", "element", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "label", "pos")])
+    y = rows.where(F.col("unlike") | (F.col("pos") < half)).select("a", "element", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "d", "label", "pos")])
+    bound = F.floor(share * (F.col("x_n") + F.col("y_n")) + 1e-6)
+    ok = (
+        (F.col("x_b") != F.col("y_b")) & (F.col("x_label") != F.col("y_label"))
+        & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+        & (F.col("x_pos") <= F.floor((F.col("x_d") - F.col("y_d") + bound) / 2)) & (F.col("y_pos") <= F.floor((F.col("y_d") - F.col("x_d") + bound) / 2))
+    )
+    xs, ys = x.alias("x"), y.alias("y")
+    pairs = xs.join(ys, (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element")) & ok)
+    pairs = pairs.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+    return stored(pairs, folder, "pairs")
 
 
 def clusters(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,39 +208,19 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     rows = stored(signed(docs, size, text_col, id_col), folder, "signed")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     classes = stored(classes, folder, "classes")
-    members = classes.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("centre")).where("m > 1")
+    members = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(members.join(shared, "key"), folder, "members")
-
-    def comparable(one: Column, other: Column) -> Column:
-        return 100 * F.least(one, other) >= percent * F.greatest(one, other)
-
-    first = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    edges = stored(first, folder, "edges-0")
-    # sets of all classes that share a bucket, each made once for all rounds
+    edges = stored(star_edges(members), folder, "edges")
     wanted = members.select("node").distinct().join(classes.select("node", "t"), "node")
     sets = stored(sets_of(docs, wanted, size, text_col, id_col), folder, "sets")
-    links = stored(confirmed(edges, sets, percent), folder, "links-0")
-    labels = components(links, folder, "round-0")
-    tested, done, i = edges, 1, 0
-    while True:
-        # members of buckets that still hold several components, by their place in the bucket
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("size")).where((F.col("lo") != F.col("hi")) & (F.col("size") > done)).select("key")
-        active = named.join(split, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
-        active = stored(active.select("key", "node", "n", "label", "place"), folder, f"active-{i}")
-        if active.isEmpty():
-            break
-        centres = active.where((F.col("place") >= done) & (F.col("place") < 4 * done)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"))
-        pairs = active.join(centres, "key").where((F.col("place") > F.col("pa")) & (F.col("label") != F.col("la")) & comparable(F.col("n"), F.col("na")))
-        edges = pairs.select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        i, done = i + 1, 4 * done
-        edges = stored(edges, folder, f"edges-{i}")
-        more = stored(confirmed(edges, sets, percent), folder, f"links-{i}")
-        tested = tested.unionByName(edges)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links, folder, f"round-{i}")
+    stars = stored(compared(edges, sets), folder, "stars")
+    links = stars.where(_like(percent)).select("a", "b")
+    labels = components(links, folder, "first")
+    more = unlike_centre(stars, sets, labels, percent, folder)
+    more = stored(compared(more, sets).where(_like(percent)).select("a", "b"), folder, "more")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more), folder, "all")
     named = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_node = stored(named.join(ids, "label").select("node", "component_id"), folder, "components")

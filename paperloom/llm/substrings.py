@@ -27,7 +27,6 @@ results. Long texts are worked through in pieces of PIECE windows.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -205,38 +204,30 @@ def windows_of(context: DataFrame, open_blocks: DataFrame) -> DataFrame:
     return joined.select("gram", "d", "t", "low", "bytes", "first", "windows", "weight").mapInArrow(run, "gram long, name long, d long, t long, first long, weight long")
 
 
-def _step(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Writes a level's rows; the files of shuffles that are done with can go."""
-    out = stored(df, folder, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def repeated_spans(rows: DataFrame, folder: str) -> DataFrame:
     """d, t, first, windows: stretches of windows that start somewhere else too."""
     runs_ = anchors(rows)
     shared = runs_.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g")
-    alive = _step(runs_.join(shared, F.col("gram") == F.col("g")).drop("g"), folder, "level0")
+    alive = stored(runs_.join(shared, F.col("gram") == F.col("g")).drop("g"), folder, "level0")
     sets = alive.groupBy("gram", "extent").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("one"))
-    sets = _step(sets, folder, "sets")
+    sets = stored(sets, folder, "sets")
     mixed = sets.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     whole = alive.join(sets.where("n > 1").select("gram", "extent"), ["gram", "extent"])
     first, _, windows = _unpacked(F.col("place"))
-    spans = [_step(whole.select("d", "t", first.alias("first"), windows.cast("long").alias("windows")), folder, "spans0")]
+    spans = [stored(whole.select("d", "t", first.alias("first"), windows.cast("long").alias("windows")), folder, "spans0")]
     picked = sets.join(mixed, "gram").select("gram", "one.d", "one.t", "one.place", F.least("n", F.lit(2)).alias("weight"))
-    context = _step(contexts(rows, picked), folder, "contexts")
-    cut = _step(blocks(context), folder, "level1")
+    context = stored(contexts(rows, picked), folder, "contexts")
+    cut = stored(blocks(context), folder, "level1")
     kinds = cut.groupBy("gram", "core", "extent").agg(F.sum("weight").alias("n"), F.min(F.struct("d", "t", "place", "first", "windows")).alias("one"))
-    kinds = _step(kinds, folder, "kinds")
+    kinds = stored(kinds, folder, "kinds")
     cores = kinds.groupBy("gram", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram", "core")
     again = cut.where("weight = 1").join(kinds.where("n > 1").select("gram", "core", "extent"), ["gram", "core", "extent"])
-    spans.append(_step(again.select("d", "t", "first", "windows"), folder, "spans1"))
+    spans.append(stored(again.select("d", "t", "first", "windows"), folder, "spans1"))
     left = kinds.join(cores, ["gram", "core"]).select("one.*", F.least("n", F.lit(2)).alias("weight"))
-    single = _step(windows_of(context, left), folder, "level2")
+    single = stored(windows_of(context, left), folder, "level2")
     same = single.groupBy("gram", "name").agg(F.sum("weight").alias("n")).where("n > 1").select("gram", "name")
     last = single.where("weight = 1").join(same, ["gram", "name"]).select("d", "t", "first", F.lit(1).cast("long").alias("windows"))
-    spans.append(_step(last, folder, "spans2"))
+    spans.append(stored(last, folder, "spans2"))
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
