@@ -202,7 +202,10 @@ def unlike_centre(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent:
 
 
 def clusters(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, t, n_shingles, component_id."""
+    """One row per input row: doc_id, t, n_shingles, component_id, label.
+
+    The label (a node's name) names the component; its id doesn't, as ids may be null or repeated.
+    """
     spark = docs.sparkSession
     folder = work_dir(spark)
     rows = stored(signed(docs, size, text_col, id_col), folder, "signed")
@@ -223,9 +226,9 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
         labels = components(links.unionByName(more), folder, "all")
     named = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_node = stored(named.join(ids, "label").select("node", "component_id"), folder, "components")
+    of_node = stored(named.join(ids, "label").select("node", "component_id", "label"), folder, "components")
     found = rows.drop("bands").join(of_node, "node", "left")
-    return found.select("doc_id", "t", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", "t", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -233,11 +236,11 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
     It is a row with the component's id (its smallest); of several rows with that id the one
     whose text has the smallest hash. Rows without words all stay. A component whose ids are all
-    null keeps one row.
+    null keeps one row, and components that share an id keep one row each.
     """
     names = docs.columns
     found = clusters(docs, size, percent).where("n_shingles > 0 AND doc_id <=> component_id")
-    stays = found.groupBy("component_id").agg(F.min("t").alias("__t")).select("__t").distinct()
+    stays = found.groupBy("label").agg(F.min("t").alias("__t")).select("__t").distinct()
     keyed = docs.withColumns({"__t": F.xxhash64("doc_id", "text"), "__words": F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))})
     kept = keyed.where("__words").join(stays, "__t", "left_semi").dropDuplicates(["__t"])
     return kept.unionByName(keyed.where("NOT __words")).select(*[F.col(f"`{c}`") for c in names])

@@ -77,6 +77,12 @@ def test_near_dedup_edges(spark):
     assert minhash.clusters(docs_of(spark, EDGE).where("false")).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    rows = [(None, "red apples fall in autumn"), (None, "seven ships sail north"), (None, "seven ships sail north"), (5, "one id with this text"), (5, "and another wholly unlike text"), (6, "and another wholly unlike text")]
+    kept = minhash.drop_near_copies(docs_of(spark, rows))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(rows[i] for i in (0, 1, 3, 4))
+
+
 def brute_spans(rows, length=200):
     raws = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[p : p + length] for _, b in raws for p in range(len(b) - length + 1))
