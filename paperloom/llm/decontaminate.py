@@ -1,4 +1,4 @@
-"""Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
+"""Benchmark decontamination by template and verbatim windows, in DataFrame functions alone.
 
 Numbers, units after numbers and names within sentences become typed placeholders; case and
 punctuation go. Names of word strings double (1, 2, 4 words, then two overlapping fours), so that a
@@ -8,12 +8,19 @@ must be filled consistently: wherever the item repeats a number or a name, the d
 one that stands for it. That tells a question asked again with other numbers from a text of
 the same pattern.
 
-A document leaks an item if ``LEAST`` of the item's windows (all, if it has fewer), on
-consistent diagonals, are in it: 13 words in a row. Windows with more than ``SLOTS``
-placeholders say too little and are not used.
+Whether an item's first word is a name can't be seen in the item, as that hangs on what stands before it: its
+first window is searched for both ways, and as a name the word itself must be the same.
 
-Defined results: null texts are empty; items below ``SHORTEST`` words are not searched for;
-items below ``WINDOW`` words are one window; rows repeating id and text are found as one. Benchmark
+Verbatim windows are made of all runs of letters and digits, in lower case, without placeholders, so neither
+case, punctuation nor what stands around a copy changes them.
+
+A document leaks an item if ``LEAST`` of the item's template windows (all, if it has fewer), on
+consistent diagonals, are in it: 13 words in a row. Template windows with more than ``SLOTS``
+placeholders are not used. It also leaks an item whose words it holds from the first
+to the last, whatever their number, and one of which it holds ``LEAST`` verbatim windows (all, if fewer),
+unless slots of a passage of the two contradict each other.
+
+Defined results: null texts are empty; items below ``SHORTEST`` words are not searched for; items below ``WINDOW`` words are one window; rows repeating id and text are found as one. Benchmark
 windows are broadcast up to ``BROADCAST_ROWS`` of them, counted first, and shuffled beyond.
 """
 
@@ -35,9 +42,14 @@ WORD_NUMBERS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirt
 _NUM, _UNIT, _NAME = "\u0001", "\u0002", "\u0003"
 
 
+def _cut(text: Column) -> Column:
+    """The tags' own characters go."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]", " ")
+
+
 def tagged_words(text: Column) -> Column:
     """Words without case and punctuation; numbers, units and names begin with their tag."""
-    s = F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]", " "), F.lit(" ")), r"\s+", " ")
+    s = F.regexp_replace(F.concat(F.lit(" "), _cut(text), F.lit(" ")), r"\s+", " ")
     s = F.regexp_replace(s, r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}+)", _NAME + "$1")
     s = F.lower(s)
     s = F.regexp_replace(s, rf"(?<= )[\p{{Ps}}\p{{Sc}}+-]*(\d+(?:[.,:/-]\d+)*|(?:{WORD_NUMBERS})(?= ))%?(?: ?({UNITS}))?(?=[^\p{{L}}\d]* )", f" {_NUM}$1 {_UNIT}$2")
@@ -46,6 +58,11 @@ def tagged_words(text: Column) -> Column:
     return F.filter(F.split(F.trim(s), " +"), lambda w: w != "")
 
 
+def plain_words(text: Column) -> Column:
+    """Runs of letters and digits in lower case, whatever stands around them."""
+    return F.regexp_extract_all(F.lower(_cut(text)), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
+
+
 def template(words: Column) -> Column:
     """Hash of each word; placeholders by their tag alone."""
     return F.transform(words, lambda w: F.xxhash64(F.when(w < "\u0004", F.substring(w, 1, 1)).otherwise(w)))
@@ -57,24 +74,48 @@ def _doubled(names: Column, step: int) -> Column:
     return F.zip_with(F.slice(names, F.lit(1), n), F.slice(names, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def _fours(rows: DataFrame, words: str) -> DataFrame:
-    """Adds w4: a name for each four words. Each step is used twice, so Spark keeps it apart."""
-    rows = rows.withColumn("w1", template(F.col(words)))
+def _chains(rows: DataFrame, words: str, verbatim: bool) -> DataFrame:
+    """Adds w1, w2, w4: a name for each one, two, four words. Each step is used twice, so Spark keeps it apart."""
+    rows = rows.withColumn("w1", F.transform(words, lambda w: F.xxhash64(w)) if verbatim else template(F.col(words)))
     rows = rows.withColumn("w2", _doubled(F.col("w1"), 1))
     return rows.withColumn("w4", _doubled(F.col("w2"), 2))
 
 
+def _step(size: int) -> int:
+    """Words of the two names that overlap in a window."""
+    return 4 if size >= 4 else 2 if size >= 2 else 1
+
+
+def _window(a: Column, b: Column, size: Column, verbatim: bool) -> Column:
+    return F.xxhash64(a, b, -size if verbatim else size)
+
+
+def _windows(items: DataFrame, verbatim: bool) -> DataFrame:
+    """The windows of items (item, item_id, words, first: the first word is taken for a name)."""
+    items = _chains(items, "words", verbatim).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
+    last = F.when(F.col("first"), 0).otherwise(F.size("words") - F.col("size"))
+    rows = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), last)))
+
+    def ends(step: int) -> Column:
+        return F.struct(F.get(f"w{step}", F.col("item_at")).alias("a"), F.get(f"w{step}", F.col("item_at") + F.col("size") - step).alias("b"))
+
+    rows = rows.withColumn("e", F.when(F.col("size") >= 4, ends(4)).when(F.col("size") >= 2, ends(2)).otherwise(ends(1)))
+    key = _window(F.col("e.a"), F.col("e.b"), F.col("size"), verbatim)
+    return rows.select("item", "item_id", F.lit(verbatim).alias("verbatim"), "first", "size", "item_at", key.alias("key"), F.slice("words", F.col("item_at") + 1, F.col("size")).alias("item_words"))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, item_at, key, item_words, total: usable windows of each item."""
-    items = benchmark.select(F.col("item_id"), tagged_words(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST)
-    items = _fours(items, "words").withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
-    places = F.sequence(F.lit(0), F.size("words") - F.col("size"))
-    rows = items.select("item_id", "words", "w4", "size", F.explode(places).alias("item_at"))
-    key = F.xxhash64(F.element_at("w4", F.col("item_at") + 1), F.element_at("w4", F.col("item_at") + F.col("size") - 3), F.col("size"))
-    rows = rows.select("item_id", "size", "item_at", key.alias("key"), F.slice("words", F.col("item_at") + 1, F.col("size")).alias("item_words"))
-    rows = rows.where(F.size(F.filter("item_words", lambda w: w < "\u0004")) <= SLOTS)
-    totals = rows.groupBy("item_id").agg(F.count("*").alias("total"))
-    return rows.join(totals, "item_id")
+    """item, item_id, verbatim, first, size, item_at, key, item_words, total: usable windows of each item."""
+    own = benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("item", F.col("item_id"))
+    no = F.lit(False).alias("first")
+    plain = own.select("item", "item_id", plain_words(F.col("text")).alias("words"), no).where(F.size("words") >= SHORTEST)
+    tagged = own.select("item", "item_id", tagged_words(F.col("text")).alias("words"), no, tagged_words(F.concat(F.lit("a, "), F.col("text"))).alias("after")).where(F.size("words") >= SHORTEST)
+    named = tagged.select("item", "item_id", F.slice("after", F.lit(2), F.size("words")).alias("words"), F.lit(True).alias("first")).where(F.get("words", F.lit(0)).startswith(_NAME))
+    templates = _windows(tagged.drop("after").unionByName(named), False)
+    templates = templates.where(F.size(F.filter("item_words", lambda w: w < "\u0004")) - F.col("first").cast("int") <= SLOTS)
+    rows = templates.unionByName(_windows(plain, True))
+    totals = rows.groupBy("item", "verbatim").agg(F.count(F.when(~F.col("first"), 1)).cast("int").alias("total"))
+    return rows.join(totals, ["item", "verbatim"])
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,36 +128,54 @@ def _fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, item_id, n_windows, coverage, exact: documents that hold items of the benchmark."""
+    """doc_id, row, item_id, n_windows, coverage, exact: documents that hold items of the benchmark.
+
+    A row for each document and item; the windows are the templates', or the verbatim ones where these cover more.
+    """
     folder = work_dir(docs.sparkSession)
     items = stored(item_windows(benchmark), folder, "items")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # WINDOW - SHORTEST + 1 at most
-    keys = _fits(items.select("key", "size", "item_id", "item_at", "total").withColumnRenamed("key", "item_key"))
+    sizes = [(r["verbatim"], r["size"]) for r in items.select("verbatim", "size").distinct().collect()]  # WINDOW of each kind at most
+    keys = _fits(items.select("key", "verbatim", "first", "size", "item", "item_at", "total").withColumnRenamed("key", "item_key"))
     named = _named(docs, id_col, text_col)
-    fours = _fours(named.select("doc_id", "row", tagged_words(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST), "words")
-
-    def matched(size: int) -> DataFrame:
-        n = F.greatest(F.size("w4") - (size - 4), F.lit(0))
-        name = F.zip_with(F.slice("w4", F.lit(1), n), F.slice("w4", F.lit(size - 3), n), lambda a, b: F.xxhash64(a, b, F.lit(size)))
-        rows = fours.select("doc_id", "row", F.posexplode(name).alias("doc_at", "key"))
-        return rows.join(keys.where(F.col("size") == size), F.col("key") == F.col("item_key")).select("doc_id", "row", "doc_at", "item_id", "item_at", "size", "total")
 
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, row long, doc_at int, item_id long, item_at int, size int, total long")
-    found = reduce(DataFrame.unionByName, map(matched, sizes)) if sizes else empty
+    def chained(verbatim: bool) -> DataFrame:
+        words = (plain_words if verbatim else tagged_words)(F.col("text"))
+        return _chains(named.select("doc_id", "row", words.alias("words")).where(F.size("words") >= SHORTEST), "words", verbatim)
+
+    def matched(verbatim: bool, size: int) -> DataFrame:
+        step = _step(size)
+        w = F.col(f"w{step}")
+        n = F.greatest(F.size(w) - (size - step), F.lit(0))
+        name = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(size - step + 1), n), lambda a, b: _window(a, b, F.lit(size), verbatim))
+        rows = chained(verbatim).select("doc_id", "row", F.posexplode(name).alias("doc_at", "key"))
+        own = keys.where((F.col("verbatim") == verbatim) & (F.col("size") == size))
+        return rows.join(own, F.col("key") == F.col("item_key")).select("doc_id", "row", "doc_at", "item", "item_at", "verbatim", "first", "size", "total")
+
+    empty = docs.sparkSession.createDataFrame([], "doc_id long, row long, doc_at int, item long, item_at int, verbatim boolean, first boolean, size int, total int")
+    found = reduce(DataFrame.unionByName, [matched(*s) for s in sizes]) if sizes else empty
     hits = stored(found.distinct().withColumn("diagonal", F.col("doc_at") - F.col("item_at")), folder, "hits")
     # slots of passages that have any: the words of hit documents, from a second look at those alone
-    slotted = items.where(F.exists("item_words", lambda w: w < "\u0004")).select("item_id", "item_at", "item_words")
-    asked = stored(hits.join(_fits(slotted), ["item_id", "item_at"]), folder, "asked")
+    slotted = items.where(~F.col("verbatim") & F.exists("item_words", lambda w: w < "\u0004")).select("item", "item_at", "first", "item_words")
+    asked = stored(hits.where("NOT verbatim").join(_fits(slotted), ["item", "item_at", "first"]), folder, "asked")
     rows = _fits(asked.select("row").distinct())
     texts = stored(named.join(rows, "row").dropDuplicates(["row"]).select("row", tagged_words(F.col("text")).alias("words")), folder, "texts")
-    pairs = asked.join(texts, "row").select("row", "item_id", "diagonal", F.explode(F.arrays_zip(F.col("item_words").alias("i"), F.slice("words", F.col("doc_at") + 1, F.col("size")).alias("d"))).alias("p"))
-    pairs = pairs.where(F.col("p.i") < "\u0004").select("row", "item_id", "diagonal", "p.i", "p.d").distinct()
-    slots = pairs.groupBy("row", "item_id", "diagonal").agg((F.count("*") == F.count_distinct("i")).alias("consistent"), F.min(F.col("i") == F.col("d")).alias("same"))
-    judged = hits.join(slots, ["row", "item_id", "diagonal"], "left")
-    judged = judged.where(F.coalesce("consistent", F.lit(True)))
-    by_item = judged.groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.count_distinct("item_at").alias("n_windows"), F.first("total").alias("total"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
-    enough = by_item.where(F.col("n_windows") >= F.least(F.col("total"), F.lit(LEAST)))
-    return enough.select("doc_id", "row", "item_id", "n_windows", F.round(F.col("n_windows") / F.col("total"), 6).alias("coverage"), "exact")
+    pairs = asked.join(texts, "row").select("row", "item", "diagonal", "first", F.posexplode(F.arrays_zip(F.col("item_words").alias("i"), F.slice("words", F.col("doc_at") + 1, F.col("size")).alias("d"))).alias("at", "p"))
+    pairs = pairs.where(F.col("p.i") < "\u0004").select("row", "item", "diagonal", (F.col("first") & (F.col("at") == 0)).alias("edge"), "p.i", "p.d").distinct()
+    inner = lambda c: F.when(~F.col("edge"), c)
+    slots = pairs.groupBy("row", "item", "diagonal").agg((F.count(inner(F.col("i"))) == F.count_distinct(inner(F.col("i")))).alias("consistent"), F.min(inner(F.col("i") == F.col("d"))).alias("same"), F.min(F.when(F.col("edge"), F.col("i") == F.col("d"))).alias("edge_same"))
+    judged = hits.where("NOT verbatim").join(slots, ["row", "item", "diagonal"], "left").withColumn("consistent", F.coalesce("consistent", F.lit(True)))
+    torn = judged.where("NOT consistent").select("row", "item").distinct().withColumn("torn", F.lit(True))
+    judged = judged.where(F.col("consistent") & (~F.col("first") | F.coalesce("edge_same", F.lit(False))))
+    by_template = judged.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.count_distinct("item_at").alias("n_windows"), F.first("total").alias("total"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
+    by_template = by_template.where(F.col("n_windows") >= F.least(F.col("total"), F.lit(LEAST))).withColumn("verbatim", F.lit(False))
+    runs = hits.where("verbatim").groupBy("row", "item", "diagonal").agg(F.first("doc_id").alias("doc_id"), F.first("total").alias("total"), F.count("*").alias("n"), F.collect_set("item_at").alias("places"))
+    by_words = runs.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.first("total").alias("total"), F.max(F.col("n") == F.col("total")).alias("whole"))
+    by_words = by_words.join(torn, ["row", "item"], "left").where(F.col("whole") | (F.col("torn").isNull() & (F.col("n_windows") >= F.least(F.col("total"), F.lit(LEAST)))))
+    both = by_template.unionByName(by_words.select("row", "item", "doc_id", "n_windows", "total", F.lit(True).alias("exact"), F.lit(True).alias("verbatim")))
+    both = both.withColumn("coverage", F.round(F.col("n_windows") / F.col("total"), 6))
+    best = both.groupBy("row", "item").agg(F.max(F.struct("coverage", ~F.col("verbatim"), "n_windows", "exact", "doc_id")).alias("b"))
+    ids = _fits(items.select("item", "item_id").distinct())
+    return best.join(ids, "item").select("b.doc_id", "row", "item_id", "b.n_windows", "b.coverage", "b.exact")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -129,6 +129,17 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs_of(spark, rows), bench.where("false")).count() == 0 and decontaminate.leaks(docs_of(spark, rows).where("false"), bench).count() == 0
 
 
+def leaked(spark, items, texts):
+    found = decontaminate.leaks(docs_of(spark, enumerate(texts)), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return sorted(((r["doc_id"], r["item_id"], r["coverage"]) for r in found), key=str)
+
+
+def test_leaks_in_other_context_and_case(spark):
+    planet, train = "Which planet is the largest in the solar system?", "Trains leave Berlin with 12 wagons each day now"
+    texts = [f"Here is a quiz question\n{planet}", planet.lower(), f"see;{planet.upper()}so", f"we read, {train.replace('12', '31')}", f"we read, {train.replace('Trains', 'Buses').replace('12', '31')}", "which planet is the smallest"]
+    assert leaked(spark, [(1, planet), (2, train)], texts) == [(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
+
+
 def test_verbatim_items_are_found(spark, sql):
     want = set(sql.execute("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)").fetchall())
     got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op2_template_decontamination"](spark, SF).collect()}
