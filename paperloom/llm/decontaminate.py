@@ -16,7 +16,7 @@ case, punctuation nor what stands around a copy changes them.
 
 A document leaks an item if ``LEAST`` of the item's template windows (all, if it has fewer), on
 consistent diagonals, are in it: 13 words in a row. Template windows with more than ``SLOTS``
-placeholders are not used. It also leaks an item whose words it holds from the first
+placeholders say too little and are not used. It also leaks an item whose words it holds from the first
 to the last, whatever their number, and one of which it holds ``LEAST`` verbatim windows (all, if fewer),
 unless slots of a passage of the two contradict each other.
 

@@ -140,6 +140,11 @@ def test_leaks_in_other_context_and_case(spark):
     assert leaked(spark, [(1, planet), (2, train)], texts) == [(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
 
 
+def test_leaks_of_items_rich_in_numbers(spark):
+    item = "What is 12 + 35 + 48 + 17 + 20 + 3 + 9?"
+    assert leaked(spark, [(1, item)], [f"Now: {item} Well.", item.replace("48", "49")]) == [(0, 1, 1.0)]
+
+
 def test_verbatim_items_are_found(spark, sql):
     want = set(sql.execute("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)").fetchall())
     got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op2_template_decontamination"](spark, SF).collect()}
