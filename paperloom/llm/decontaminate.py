@@ -20,7 +20,8 @@ placeholders say too little and are not used. It also leaks an item whose words
 to the last, whatever their number, and one of which it holds ``LEAST`` verbatim windows (all, if fewer),
 unless slots of a passage of the two contradict each other.
 
-Defined results: null texts are empty; items below ``SHORTEST`` words are not searched for; items below ``WINDOW`` words are one window; rows repeating id and text are found as one. Benchmark
+Defined results: null texts are empty; an item is a pair of item_id (which may be null) and text, and rows that
+repeat it count once; items below ``SHORTEST`` words are not searched for; items below ``WINDOW`` words are one window; rows repeating id and text are found as one. Benchmark
 windows are broadcast up to ``BROADCAST_ROWS`` of them, counted first, and shuffled beyond.
 """
 
@@ -106,7 +107,7 @@ def _windows(items: DataFrame, verbatim: bool) -> DataFrame:
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item, item_id, verbatim, first, size, item_at, key, item_words, total: usable windows of each item."""
-    own = benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("item", F.col("item_id"))
+    own = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text"))
     no = F.lit(False).alias("first")
     plain = own.select("item", "item_id", plain_words(F.col("text")).alias("words"), no).where(F.size("words") >= SHORTEST)
     tagged = own.select("item", "item_id", tagged_words(F.col("text")).alias("words"), no, tagged_words(F.concat(F.lit("a, "), F.col("text"))).alias("after")).where(F.size("words") >= SHORTEST)
@@ -114,7 +115,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     templates = _windows(tagged.drop("after").unionByName(named), False)
     templates = templates.where(F.size(F.filter("item_words", lambda w: w < "\u0004")) - F.col("first").cast("int") <= SLOTS)
     rows = templates.unionByName(_windows(plain, True))
-    totals = rows.groupBy("item", "verbatim").agg(F.count(F.when(~F.col("first"), 1)).cast("int").alias("total"))
+    totals = rows.groupBy("item", "verbatim").agg(F.count_distinct("item_at").cast("int").alias("total"))
     return rows.join(totals, ["item", "verbatim"])
 
 

@@ -145,6 +145,12 @@ def test_leaks_of_items_rich_in_numbers(spark):
     assert leaked(spark, [(1, item)], [f"Now: {item} Well.", item.replace("48", "49")]) == [(0, 1, 1.0)]
 
 
+def test_leaks_of_repeated_and_nameless_items(spark):
+    short, other = "seven plain words stand here all alone today", "quite another question stands under the same number"
+    got = leaked(spark, [(1, short), (1, short), (1, other), (None, "nobody gave this passage any number at all")], [f"so {short}", f"and {other} too", "say nobody gave this passage any number at all"])
+    assert got == [(0, 1, 1.0), (1, 1, 1.0), (2, None, 1.0)]
+
+
 def test_verbatim_items_are_found(spark, sql):
     want = set(sql.execute("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)").fetchall())
     got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op2_template_decontamination"](spark, SF).collect()}
