@@ -20,8 +20,11 @@ placeholders say too little and are not used. It also leaks an item whose words
 to the last, whatever their number, and one of which it holds ``LEAST`` verbatim windows (all, if fewer),
 unless slots of a passage of the two contradict each other.
 
+Scripts without spaces (Han, kana, Thai, Lao, Khmer, Burmese) are cut into characters, which count as words.
+
 Defined results: null texts are empty; an item is a pair of item_id (which may be null) and text, and rows that
-repeat it count once; items below ``SHORTEST`` words are not searched for; items below ``WINDOW`` words are one window; rows repeating id and text are found as one. Benchmark
+repeat it count once; items below ``SHORTEST`` words are searched for verbatim only, items without letters and digits
+not at all; items below ``WINDOW`` words are one window; rows repeating id and text are found as one. Benchmark
 windows are broadcast up to ``BROADCAST_ROWS`` of them, counted first, and shuffled beyond.
 """
 
@@ -41,16 +44,22 @@ BROADCAST_ROWS = 200_000
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|oz|l|ml|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|percent|usd|eur|dollars|euros|cents|miles|meters|metres|feet|inches|liters|litres|grams|degrees|hz|v|w|kw|j|n|pa|mol"
 WORD_NUMBERS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million"
 _NUM, _UNIT, _NAME = "\u0001", "\u0002", "\u0003"
+# Scripts without spaces; the prolonged sound marks belong to no script. Looking a script up is slow, so blocks
+# of characters that hold these scripts, and others, say which texts are looked through.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\uFF70\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&[^\p{M}]]\p{M}*"
+_BLOCKS = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u19FF\u2E80-\uABFF\uF900-\uFAFF\uFF66-\uFF9F\x{11000}-\x{3FFFF}]"
 
 
 def _cut(text: Column) -> Column:
-    """The tags' own characters go."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]", " ")
+    """Spaces around the characters of scripts without spaces."""
+    text = F.coalesce(text, F.lit(""))
+    rare = (F.octet_length(text) > F.length(text)) & text.rlike(_BLOCKS)
+    return F.when(rare, F.regexp_replace(text, f"({_UNSPACED})", " $1 ")).otherwise(text)
 
 
 def tagged_words(text: Column) -> Column:
     """Words without case and punctuation; numbers, units and names begin with their tag."""
-    s = F.regexp_replace(F.concat(F.lit(" "), _cut(text), F.lit(" ")), r"\s+", " ")
+    s = F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(_cut(text), "[\u0001-\u0003]", " "), F.lit(" ")), r"\s+", " ")
     s = F.regexp_replace(s, r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}+)", _NAME + "$1")
     s = F.lower(s)
     s = F.regexp_replace(s, rf"(?<= )[\p{{Ps}}\p{{Sc}}+-]*(\d+(?:[.,:/-]\d+)*|(?:{WORD_NUMBERS})(?= ))%?(?: ?({UNITS}))?(?=[^\p{{L}}\d]* )", f" {_NUM}$1 {_UNIT}$2")
@@ -61,7 +70,7 @@ def tagged_words(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Runs of letters and digits in lower case, whatever stands around them."""
-    return F.regexp_extract_all(F.lower(_cut(text)), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
+    return F.array_remove(F.split(F.lower(_cut(text)), r"[^a-z0-9\p{L}\p{M}\p{N}]+"), "")
 
 
 def template(words: Column) -> Column:
@@ -109,7 +118,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """item, item_id, verbatim, first, size, item_at, key, item_words, total: usable windows of each item."""
     own = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text"))
     no = F.lit(False).alias("first")
-    plain = own.select("item", "item_id", plain_words(F.col("text")).alias("words"), no).where(F.size("words") >= SHORTEST)
+    plain = own.select("item", "item_id", plain_words(F.col("text")).alias("words"), no).where(F.size("words") > 0)
     tagged = own.select("item", "item_id", tagged_words(F.col("text")).alias("words"), no, tagged_words(F.concat(F.lit("a, "), F.col("text"))).alias("after")).where(F.size("words") >= SHORTEST)
     named = tagged.select("item", "item_id", F.slice("after", F.lit(2), F.size("words")).alias("words"), F.lit(True).alias("first")).where(F.get("words", F.lit(0)).startswith(_NAME))
     templates = _windows(tagged.drop("after").unionByName(named), False)
@@ -141,7 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def chained(verbatim: bool) -> DataFrame:
         words = (plain_words if verbatim else tagged_words)(F.col("text"))
-        return _chains(named.select("doc_id", "row", words.alias("words")).where(F.size("words") >= SHORTEST), "words", verbatim)
+        return _chains(named.select("doc_id", "row", words.alias("words")), "words", verbatim)  # a filter would cut the words twice
 
     def matched(verbatim: bool, size: int) -> DataFrame:
         step = _step(size)

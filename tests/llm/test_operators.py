@@ -151,6 +151,12 @@ def test_leaks_of_repeated_and_nameless_items(spark):
     assert got == [(0, 1, 1.0), (1, 1, 1.0), (2, None, 1.0)]
 
 
+def test_leaks_of_short_items_and_scripts_without_spaces(spark):
+    chinese, thai = "太阳系中最大的行星是哪一颗", "ดาวเคราะห์ดวงใดใหญ่ที่สุด"
+    texts = ["What is the capital?", "Quiz: what is the capital? Say it", "what is the new capital", f"请回答{chinese}？谢谢", f"ถาม{thai}ครับ", "太阳系中最小的行星"]
+    assert leaked(spark, [(1, "What is the capital?"), (2, chinese), (3, thai)], texts) == [(0, 1, 1.0), (1, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
+
+
 def test_verbatim_items_are_found(spark, sql):
     want = set(sql.execute("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)").fetchall())
     got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op2_template_decontamination"](spark, SF).collect()}
