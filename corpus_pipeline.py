@@ -16,7 +16,7 @@ from paperloom.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and so without a language, go."""
+    """Null texts and texts without letters, and so without a language, go; they alone, if no language can be learnt."""
     return langid.keep_identified(docs, langid.fit_on(docs))
 
 

@@ -357,11 +357,16 @@ def identify(docs: DataFrame, model: CrfModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: CrfModel, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is one of the learnt ones, at ``least`` certain; their own columns."""
+    """The rows of ``docs`` whose language is one of the learnt ones, at ``least`` certain; their own columns.
+
+    If none could be learnt, all texts with letters stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
+        if not sent.value.langs:
+            return pd.Series([any(map(str.isalpha, t or "")) for t in text.tolist()], dtype=bool)
         return pd.Series([lang != UNKNOWN and score >= least for lang, score, _, _ in sent.value.label(text.tolist())], dtype=bool)
 
     return docs.where(known(F.col("text").cast("string")))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from compare import same
 from conftest import SF
+from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, exact_dedup, minhash, pii, queries, substrings, warc
 
@@ -203,6 +204,14 @@ def test_held_out_language_and_quality(spark, sql):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in scored)
 
 
+def test_texts_stay_where_no_language_can_be_learnt(spark):
+    import corpus_pipeline as c
+
+    docs = docs_of(spark, EDGE + [(10, "12 + 3 =")]).withColumn("lang", F.lit(None).cast("string"))
+    kept = c.language(spark, docs, SF)
+    assert kept.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(r for r in EDGE if (r[1] or "").strip())
+
+
 def test_pseudonym_rows(spark):
     got = pii.pseudonyms(docs_of(spark, EDGE)).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, EDGE))
