@@ -3,8 +3,9 @@
 import pytest
 from compare import same
 from conftest import SF
+from pyspark.sql import functions as F
 
-from paperloom.plans import queries  # noqa: F401
+from paperloom.plans import queries
 from paperloom.plans.registry import ORACLES, QUERIES
 
 
@@ -13,6 +14,16 @@ def test_query(spark, sql, name):
     same(QUERIES[name](spark, SF), sql, ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["image_overlap", "neighbor_clamp"])
+def test_boxes_of_one_full_page(spark, sql, name, monkeypatch):
+    boxes = queries._boxes
+    monkeypatch.setattr(queries, "_boxes", lambda *a: boxes(*a).where("vec_id < 400").withColumn("page", F.floor(F.col("vec_id") / 400)))
+    oracle = ORACLES[name].replace("vec_id // 25", "vec_id // 400").replace("FROM embeddings", "FROM embeddings WHERE vec_id < 400")
+    got = QUERIES[name](spark, SF)
+    same(got, sql, oracle)
+    assert got.count() > 25
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 
