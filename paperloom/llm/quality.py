@@ -6,12 +6,13 @@ which dictionary knows it better. A logistic curve, fitted on labelled texts tha
 dictionary has seen, turns that difference (with the size itself in proportion to the text,
 which tells repetition) into the probability of label 1.
 
-The fit uses at most ``sample`` labelled texts of each class, those with the smallest hashes of
-their id; every text is scored, whole.
+The fit uses at most ``sample`` labelled ids of each class, those with the smallest hashes, with one text
+each (of an id's texts the one with the smallest hash) of ``SAMPLE_BYTES`` at most. These bounds hold for the fit alone:
+every text is scored, whole, whatever its length.
 
 Defined results: null and empty texts, and all texts if no class can be learnt, get the share
 of label 1 among the labelled rows (0.5 without any). Rows with conflicting labels of one id are
-not learnt from. A repeated row gets a repeated result; an empty table gives an empty result.
+not learnt from. A repeated row gets a repeated result; an empty table gives an empty result; further columns play no part.
 """
 
 from __future__ import annotations
@@ -115,12 +116,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityM
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES))
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
-    got = texts.join(few, "id").select("id", "text", "y").collect()
-    by_id = {r["id"]: r for r in sorted(got, key=lambda r: (r["id"], r["text"]))}
-    rows = [by_id[i] for i in sorted(by_id, key=lambda i: (i * 0x9E3779B97F4A7C15) % 2**64)]
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    got = texts.join(few, "id").groupBy("id").agg(one, F.min("y").alias("y")).collect()  # a row for each chosen id
+    rows = sorted(got, key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % 2**64, r["id"]))
     return fit([r["text"] for r in rows], [r["y"] for r in rows], prior)
 
 
