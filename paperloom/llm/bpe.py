@@ -2,18 +2,20 @@
 
 A sequence of tokens is what the merge rules make of a text exactly when each two neighbours are
 what the rules make of those two tokens' text. So every prefix of a word has one last token. It is
-found among the vocabulary entries that end where the prefix ends (an automaton with suffix
-links lists them) as the one that is compatible with the last token of the shorter prefix before
-it. Following the back-pointers from the end of the word gives the ids. Compatibility of a pair
+found among the vocabulary entries that end where the prefix ends as the one that is compatible with
+the last token of the shorter prefix before it. Following the back-pointers from the end of the word
+gives the ids. The entries come from the suffix automaton of the vocabulary: its state after a prefix stands for the
+prefix's longest end that occurs in an entry, and the suffix links lead to the shorter ends. Compatibility of a pair
 is decided by undoing merges at the seam: a merge across the seam with an earlier rank than the
-merge being undone would have come first.
+merge being undone would have come first. Decoding starts from the ids that were emitted.
 
 Texts are cut into white-space-delimited words, which neither normalisation nor the vocabulary's
 word pattern crosses; words and their pieces are kept in bounded caches.
 
 Defined results: a null text counts as empty and has no ids; special tokens' strings in a text
-become their ids; a text of any length is encoded whole. Rows keep their ids, repeated or null. Case and
-composition are Python's own, of Unicode 15.1: later letters with case may differ from the library's.
+become their ids; a text of any length is encoded whole. Rows keep their ids, repeated or null; an empty table gives
+an empty result, and further columns play no part. Case and composition are Python's own; words with characters
+that Python's Unicode version doesn't have go through the library's normaliser.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's caches, after which they start anew.
-WORDS, PIECES, PAIRS = 400_000, 400_000, 1_000_000
+from .common import Cache, caches_of
+
+#: Entries of a worker's caches, of some 150 bytes each: 80 MB at most.
+WORDS, PIECES, PAIRS = 250_000, 60_000, 200_000
 #: Rows sent back at once.
 ROWS = 500
 # Fixed values of the vocabulary file's kind: its word pattern, its white space, its end mark.
@@ -69,18 +72,63 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
-class _Cache(dict):
-    """A dict that makes missing values, and starts anew at its bound."""
-
-    def __init__(self, make, bound: int):
-        super().__init__()
-        self.make, self.bound = make, bound
-
-    def __missing__(self, key):
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+class SuffixAutomaton:
+    """All parts of all entries; a state's ``found`` lists the (length, id) of entries that end there, long ones first."""
+
+    def __init__(self, entries: list[tuple[str, int]]):
+        self.size, self.link = [0], [-1]
+        steps: list[dict[str, int]] = [{}]
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for text, _ in entries:
+            last = 0
+            for c in text:
+                last = self._extend(steps, last, c)
+        for text, i in entries:  # states may have been split since they were made
+            at = 0
+            for c in text:
+                at = steps[at][c]
+            ends.setdefault(at, []).append((len(text), i))
+        self.found = [tuple(sorted(ends[s], reverse=True)) if s in ends else () for s in range(len(steps))]
+        # the next state on the way along the links that has entries
+        self.up = [0] * len(steps)
+        for s in sorted(range(1, len(steps)), key=self.size.__getitem__):
+            link = self.link[s]
+            self.up[s] = link if self.found[link] else self.up[link]
+        self.step = {(s << 16 | ord(c)): to for s, own in enumerate(steps) for c, to in own.items()}
+
+    def _extend(self, steps: list[dict[str, int]], last: int, c: str) -> int:
+        size, link = self.size, self.link
+        old = steps[last].get(c)
+        if old is not None and size[old] == size[last] + 1:
+            return old
+        if old is None:
+            new = len(steps)
+            steps.append({})
+            size.append(size[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in steps[p]:
+                steps[p][c] = new
+                p = link[p]
+            if p < 0:
+                return new
+            old = steps[p][c]
+            if size[old] == size[p] + 1:
+                link[new] = old
+                return new
+        else:
+            new, p = -1, last
+        twin = len(steps)
+        steps.append(dict(steps[old]))
+        size.append(size[p] + 1)
+        link.append(link[old])
+        link[old] = twin
+        if new >= 0:
+            link[new] = twin
+        while p >= 0 and steps[p].get(c) == old:
+            steps[p][c] = twin
+            p = link[p]
+        return twin if new < 0 else new
 
 
 class PrefixBpe:
@@ -104,19 +152,24 @@ class PrefixBpe:
             if self.rank[z] < 0:
                 self.rank[z], self.left[z], self.right[z] = r, x, y
         self.letters = byte_letters()
-        self._pairs = _Cache(self._seam, PAIRS)
-        self._automaton = ahocorasick.Automaton()
+        self._pairs = Cache(self._seam, PAIRS)
+        usable = []
         for t, i in self.vocab.items():
             form = t[: -len(WORD_END)] + _MARK if t.endswith(WORD_END) and len(t) > len(WORD_END) else t
             if len(form) - form.endswith(_MARK) == 1 or (self.rank[i] >= 0 and self.whole(i)):
-                self._automaton.add_word(form, (len(form), i))
-        self._automaton.make_automaton()
+                usable.append((form, i))
+        self._automaton = SuffixAutomaton(usable)
         # letters of each token as they stand in a word's form, with the end mark
         self.sizes = [len(t) - len(WORD_END) + 1 if t.endswith(WORD_END) and len(t) > len(WORD_END) else len(t) for t in self.tokens]
         self._pattern = regex.compile(PIECE)
         self._cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces = _Cache(self._piece, PIECES)
-        self.words = _Cache(self._word, WORDS)
+        self._library = None
+        self.pieces = Cache(self._piece, PIECES)
+        self.words = Cache(self._word, WORDS)
+
+    def forget(self) -> None:
+        for cache in (self.words, self.pieces, self._pairs):
+            cache.forget()
 
     def whole(self, token: int) -> bool:
         """Whether the rules make this token of its own text."""
@@ -149,12 +202,25 @@ class PrefixBpe:
         form = "".join([letters[b] for b in piece.encode("utf-8", "replace")]) + _MARK
         last, pairs = [-1] * (len(form) + 1), self._pairs
         last[0] = -2
-        for end, (size, token) in self._automaton.iter(form):
-            end += 1
-            if last[end] == -1:
-                before = last[end - size]
-                if before == -2 or (before >= 0 and pairs[before << 32 | token]):
-                    last[end] = token
+        a = self._automaton
+        step, link, found, up = a.step.get, a.link, a.found, a.up
+        state = length = 0
+        for end, c in enumerate(map(ord, form), 1):
+            to = step(state << 16 | c)
+            while to is None and state:
+                state = link[state]
+                length = a.size[state]
+                to = step(state << 16 | c)
+            state, length = (to, length + 1) if to is not None else (0, 0)
+            at = state
+            while at and last[end] == -1:
+                for size, token in found[at]:
+                    if size <= length:
+                        before = last[end - size]
+                        if before == -2 or (before >= 0 and pairs[before << 32 | token]):
+                            last[end] = token
+                            break
+                at = up[at]
         ids, at = [], len(form)
         while at:
             ids.append(last[at])
@@ -162,49 +228,49 @@ class PrefixBpe:
         ids.reverse()
         return ids
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """A piece's ids as little-endian unsigned 32-bit integers, and its tokens."""
-        ids = self.piece_ids(piece)
-        return array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids])
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids as little-endian unsigned 32-bit integers."""
+        return array("I", self.piece_ids(piece)).tobytes()
 
     def word_pieces(self, word: str) -> list[str]:
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")  # lower case letter by letter
-        return self._pattern.findall(word.lower())
-
-    def _word(self, word: str) -> tuple[bytes, str]:
+        if word.isascii():
+            word = word.lower()
+        elif any(unicodedata.category(c) == "Cn" for c in word):
+            word = self._library_normal(word)
+        else:
+            word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()  # letter by letter
+        return self._pattern.findall(word)
+
+    def _library_normal(self, word: str) -> str:
+        if self._library is None:
+            from tokenizers import normalizers
+
+            self._library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        return self._library.normalize_str(word)
+
+    def _word(self, word: str) -> bytes:
         found = self.word_pieces(word)
-        if len(found) == 1:
-            return self.pieces[found[0]]
-        both = [self.pieces[p] for p in found]
-        return b"".join([x for x, _ in both]), " ".join([t for _, t in both])
+        if len(found) == 1 and len(found[0]) == len(word):
+            return self._piece(found[0])  # kept as a word
+        return b"".join([self.pieces[p] for p in found])
 
-    def _runs(self, text: str) -> list[tuple[bytes, str]]:
+    def _runs(self, text: str) -> list[bytes]:
         get = self.words.__getitem__
         if "<" not in text or self._cut is None or not self._cut.search(text):
             return [*map(get, split_words(text))]
         runs, at = [], 0
         for m in self._cut.finditer(text):
-            runs += [*map(get, split_words(text[at : m.start()])), (array("I", [self.special[m[0]]]).tobytes(), m[0])]
+            runs += [*map(get, split_words(text[at : m.start()])), array("I", [self.special[m[0]]]).tobytes()]
             at = m.end()
         return runs + [*map(get, split_words(text[at:]))]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, four bytes each."""
-        return b"".join([ids for ids, _ in self._runs(text or "")])
+        return b"".join(self._runs(text or ""))
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces: this vocabulary file names no decoder."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in memoryview(ids).cast("I")])
-
-    def round_trip(self, text: str | None) -> tuple[bytes, str]:
-        """encode() and decode() of its ids; the tokens of a known word are known too."""
-        runs = self._runs(text or "")
-        if not runs:
-            return b"", ""
-        ids, tokens = zip(*runs, strict=True)
-        return b"".join(ids), " ".join(tokens)
+        return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
 @lru_cache(2)
@@ -219,10 +285,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
+        caches_of("bpe", bpe.forget)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                both = [bpe.round_trip(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in both], pa.binary()), pa.array([t for _, t in both], pa.string())], schema=schema)
+                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
