@@ -1,5 +1,11 @@
 """Every query of the engine against its SQL on the smallest tables."""
 
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import pytest
 from compare import same
 from conftest import SF
@@ -29,3 +35,20 @@ def test_entry_module(spark):
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("gone", [["paperloom/llm", "tests/llm"], ["paperloom/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_module_without_training_operators(tmp_path, gone):
+    home, copy = pathlib.Path(__file__).parents[1], tmp_path / "copy"
+    shutil.copytree(home, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse"))
+    for name in gone:
+        if (path := copy / name).is_dir():
+            shutil.rmtree(path)
+        elif path.exists():
+            path.unlink()
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    n, n_sql = map(int, said.stdout.split())
+    assert n >= len(QUERIES) and n_sql >= len(ORACLES)
+    assert n == len(QUERIES) or "paperloom/llm" not in gone
