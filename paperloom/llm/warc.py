@@ -1,16 +1,18 @@
 """WARC archives by way of a table of chunk rows.
 
-A payload of any size travels as rows (record, chunk number, bytes): the JVM cuts it, and the
-writer streams one chunk after the other into its record's own gzip member, with an incremental
+A payload of any size travels as rows (record, chunk number, bytes): the JVM cuts it where it is read, before any
+shuffle, and the writer streams one chunk after the other into its record's own gzip member, with an incremental
 SHA-1 that must end at the digest in the record's header. The reader streams an archive back as
 chunk rows that carry the bytes so far and the digest so far; no side holds a whole record.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest id is a
-response and the others are revisits of it, without the payload but with its length and digest.
+response and the others are revisits of it, without the payload but with its length and digest. That is decided on
+(id, length, digest) alone, and chunk rows are dealt by id and digest, so copies of one page under many ids
+spread over all tasks. Up to ``BROADCAST_ROWS`` revisits, counted first, are known before the deal, and their payloads stay behind.
 
 Defined results: a null html counts as empty; a null url gives no target header; null ids come
 before all others; rows that repeat both id and payload are all responses of that id, as a
-record can't refer to itself. Empty tables give no archives and empty results.
+record can't refer to itself. Empty tables give no archives and empty results; further columns play no part.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, work_dir
+from .common import shuffle_width, stored, work_dir
 
 #: Bytes of a chunk, and payload bytes from which equal payloads are stored once.
 CHUNK, LEAST = 1 << 16, 1000
+#: Revisits, of some 80 bytes each, that are broadcast: 8 MB at most.
+BROADCAST_ROWS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 _ID = "urn:paperloom:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,23 +46,38 @@ _ROW = pa.schema([
 _ROW_SQL = "page_id long, record_type string, refers_to long, url string, chunk_no long, chunk binary, payload_bytes long, payload_digest string, last boolean"
 
 
-def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Each page with payload, length, digest, record type and the id that it refers to."""
+def _rows(pages: DataFrame) -> DataFrame:
+    """Each page with payload, length and digest; k and null stand for its id, row tells rows of one id and payload apart."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"))
-    firsts = rows.where(F.col("n") >= least).groupBy(F.col("digest").alias("g_digest"), F.col("n").alias("g_n")).agg(F.max("page_id").alias("g_id"), F.count("*").alias("g_rows")).where("g_rows > 1").drop("g_rows")
-    joined = rows.join(firsts, (F.col("digest") == F.col("g_digest")) & (F.col("n") == F.col("g_n")), "left")
-    again = F.col("g_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("g_id"))
-    return joined.select("page_id", "url", "payload", "n", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("g_id")).alias("refers_to"))
-
-
-def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per chunk, in order, next to each other; a revisit has one empty chunk."""
-    whole = F.col("record_type") == "response"
-    last = F.when(whole, F.greatest(F.ceil(F.col("n") / chunk) - 1, F.lit(0))).otherwise(F.lit(0))
-    rows = records.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("chunk_no"))
-    cut = F.substring(F.col("payload"), F.col("chunk_no").cast("int") * chunk + 1, F.lit(chunk))
-    return rows.select("page_id", "url", "n", "digest", "record_type", "refers_to", "chunk_no", F.when(whole, cut).otherwise(F.lit(b"")).alias("chunk"))
+    key = {"k": F.coalesce("page_id", F.lit(0)), "null": F.col("page_id").isNull(), "n": F.octet_length("payload").cast("long"), "digest": F.sha1("payload"), "row": F.monotonically_increasing_id()}
+    return rows.withColumns(key)
+
+
+def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """k, null, digest of the records that are revisits, and the id that they refer to."""
+    rows = _rows(pages).where(F.col("n") >= least).select("page_id", "k", "null", "n", "digest")
+    firsts = rows.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1 AND refers_to IS NOT NULL").drop("rows")
+    firsts = stored(firsts, work_dir(pages.sparkSession), "firsts")  # so that the join can split a digest with very many rows
+    again = rows.join(firsts, ["digest", "n"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return again.select("k", "null", "digest", "refers_to").distinct()
+
+
+def chunked(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """One row per chunk, in order, all of a record next to each other in one task; a revisit has one empty chunk."""
+    spark = pages.sparkSession
+    again = stored(revisits(pages, least), work_dir(spark), "revisits")
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    last = F.greatest(F.ceil(F.col("n") / chunk) - 1, F.lit(0)).cast("long")
+    rows = _rows(pages).withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.withColumn("chunk", F.substring("payload", F.col("chunk_no").cast("int") * chunk + 1, F.lit(chunk))).drop("payload")
+    key, deal = ["k", "null", "digest"], (shuffle_width(spark), "k", "null", "digest")
+    if not few:
+        rows = rows.repartition(*deal)
+    typed = rows.join(F.broadcast(again) if few else again.hint("merge"), key, "left")
+    whole = F.col("refers_to").isNull()
+    typed = typed.where(whole | (F.col("chunk_no") == 0)).withColumns({"chunk": F.when(whole, F.col("chunk")).otherwise(F.lit(b"")), "record_type": F.when(whole, "response").otherwise("revisit")})
+    dealt = typed.repartition(*deal) if few else typed
+    return dealt.sortWithinPartitions("k", "null", "digest", "row", "chunk_no").select("page_id", "url", "n", "digest", "record_type", "refers_to", "chunk_no", "chunk")
 
 
 def _name(page_id: int | None) -> str:
@@ -108,8 +127,8 @@ class RecordWriter:
         return self.records
 
 
-def write(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """Writes an archive for each task; returns the manifest (name, records)."""
+def write(chunks: DataFrame, folder: str) -> DataFrame:
+    """Writes chunk rows to an archive for each task; returns the manifest (name, records)."""
     schema = pa.schema([("name", pa.string()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +145,7 @@ def write(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
             store.move(part, f"{base}/{name}")
             yield pa.RecordBatch.from_pylist([{"name": name, "records": n}], schema=schema)
 
-    return stored(chunked(records, chunk).mapInArrow(run, "name string, records long"), folder, "manifest")
+    return stored(chunks.mapInArrow(run, "name string, records long"), folder, "manifest")
 
 
 class _Inflated:
@@ -226,12 +245,11 @@ def read(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
-    width = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return names.repartition(width, "name").mapInArrow(run, _ROW_SQL)
+    return names.repartition(shuffle_width(spark), "name").mapInArrow(run, _ROW_SQL)
 
 
 def through_archives(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
     """Writes all pages to archives in the shared folder and reads the chunk table back."""
     folder = f"{work_dir(pages.sparkSession)}/warc"
-    write(planned(pages, least), folder, chunk)
+    write(chunked(pages, least, chunk), folder)
     return read(pages.sparkSession, folder, chunk)
