@@ -1,6 +1,8 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by prefix doubling of names within texts, and three rounds of Spark over anchors.
 
-Every byte that a repeated string of ``LENGTH`` bytes covers is removed. Ranks are names: equal
+This departs from plain distributed prefix doubling, which sorts (position, rank) pairs of all bytes anew at each
+offset: a row per byte would write some 30 times the input a round. Every byte that a repeated string of
+``LENGTH`` bytes covers is removed. Ranks are names: equal
 strings have equal 64-bit names. A text's names double in place from 8 to 128 bytes, a name at
 twice the length being made of the names at a position and at the growing offset after it. Spark
 then sorts (name, position) pairs, level by level, and only positions whose name is still shared
@@ -15,14 +17,14 @@ go on to the next, longer level:
            windows) is unique drops out; one whose whole extent is shared is repeated.
   level 2  What is still open is compared window by window.
 
-One row per byte position, as plain doubling needs, would be some 30 times the input; anchors are
-about one position in 70. Groups are counted by pre-aggregated sums and never collected; each set
+Anchors are about one position in 70. Groups are counted by pre-aggregated sums and never collected; each set
 of equal runs sends one of its own to the next level, so a passage in every text costs no more
-there than one in two.
+there than one in two. What is counted is stored before it is joined back, so both sides come from plain exchanges
+and adaptive execution splits a name that very many positions share.
 
 Defined results: a null text is empty; texts below LENGTH bytes are left as they are; rows
 that repeat id and text are copies of each other and lose all windows; empty tables give empty
-results. Long texts are worked through in pieces of PIECE windows.
+results; further columns play no part. Long texts are worked through in pieces of PIECE windows.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, work_dir
+from .common import dropped, stored, work_dir
 
 LENGTH, GRAM, BLOCK = 200, 64, 16
 #: Windows of a text that are worked on at once.
@@ -206,28 +208,36 @@ def windows_of(context: DataFrame, open_blocks: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, folder: str) -> DataFrame:
     """d, t, first, windows: stretches of windows that start somewhere else too."""
-    runs_ = anchors(rows)
-    shared = runs_.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g")
-    alive = stored(runs_.join(shared, F.col("gram") == F.col("g")).drop("g"), folder, "level0")
-    sets = alive.groupBy("gram", "extent").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("one"))
-    sets = stored(sets, folder, "sets")
-    mixed = sets.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
+    spark = rows.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return stored(df, folder, name)
+
+    runs_ = kept(anchors(rows), "anchors")
+    shared = kept(runs_.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "shared")
+    alive = kept(runs_.join(shared, "gram"), "level0")
+    dropped(spark, folder, "anchors", "shared")
+    sets = kept(alive.groupBy("gram", "extent").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("one")), "sets")
+    mixed = kept(sets.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram"), "mixed")
     whole = alive.join(sets.where("n > 1").select("gram", "extent"), ["gram", "extent"])
     first, _, windows = _unpacked(F.col("place"))
-    spans = [stored(whole.select("d", "t", first.alias("first"), windows.cast("long").alias("windows")), folder, "spans0")]
+    spans = [kept(whole.select("d", "t", first.alias("first"), windows.cast("long").alias("windows")), "spans0")]
+    dropped(spark, folder, "level0")
     picked = sets.join(mixed, "gram").select("gram", "one.d", "one.t", "one.place", F.least("n", F.lit(2)).alias("weight"))
-    context = stored(contexts(rows, picked), folder, "contexts")
-    cut = stored(blocks(context), folder, "level1")
-    kinds = cut.groupBy("gram", "core", "extent").agg(F.sum("weight").alias("n"), F.min(F.struct("d", "t", "place", "first", "windows")).alias("one"))
-    kinds = stored(kinds, folder, "kinds")
-    cores = kinds.groupBy("gram", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram", "core")
+    context = kept(contexts(rows, picked), "contexts")
+    cut = kept(blocks(context), "level1")
+    dropped(spark, folder, "sets", "mixed")
+    kinds = kept(cut.groupBy("gram", "core", "extent").agg(F.sum("weight").alias("n"), F.min(F.struct("d", "t", "place", "first", "windows")).alias("one")), "kinds")
+    cores = kept(kinds.groupBy("gram", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram", "core"), "cores")
     again = cut.where("weight = 1").join(kinds.where("n > 1").select("gram", "core", "extent"), ["gram", "core", "extent"])
-    spans.append(stored(again.select("d", "t", "first", "windows"), folder, "spans1"))
+    spans.append(kept(again.select("d", "t", "first", "windows"), "spans1"))
     left = kinds.join(cores, ["gram", "core"]).select("one.*", F.least("n", F.lit(2)).alias("weight"))
-    single = stored(windows_of(context, left), folder, "level2")
-    same = single.groupBy("gram", "name").agg(F.sum("weight").alias("n")).where("n > 1").select("gram", "name")
+    single = kept(windows_of(context, left), "level2")
+    dropped(spark, folder, "contexts", "level1", "kinds", "cores")
+    same = kept(single.groupBy("gram", "name").agg(F.sum("weight").alias("n")).where("n > 1").select("gram", "name"), "same")
     last = single.where("weight = 1").join(same, ["gram", "name"]).select("d", "t", "first", F.lit(1).cast("long").alias("windows"))
-    spans.append(stored(last, folder, "spans2"))
+    spans.append(kept(last, "spans2"))
+    dropped(spark, folder, "level2", "same")
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
