@@ -15,11 +15,13 @@ Cards may stand among other digits, as a security code or a quantity. An unbroke
 with pseudonyms; other layouts where the row begins, longest first, each ending at a separator.
 
 Defined results: null stays null, empty stays empty; texts are worked on whole; rows repeat as
-they are. The key is a parameter; without one a fixed key for tests is used.
+they are; an empty table gives an empty result, and further columns play no part. Of values that overlap the one of
+the kind tried first counts. The key is a parameter that has no default.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import re
 from collections.abc import Callable, Iterator
@@ -31,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-TEST_KEY = b"paperloom test key"
 ROWS = 500
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -96,13 +97,29 @@ def _card(key: bytes, found: str, back: bool) -> str | None:
     return _fill(found, body + str(-luhn(body + "0") % 10))
 
 
-def _take_cards(text: str, pattern: re.Pattern, key: bytes, back: bool, taken: list[tuple[int, int, str, str]]) -> None:
+class Taken:
+    """What was found in a text, in order; no two overlap."""
+
+    def __init__(self):
+        self.starts, self.rows = [], []
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end)
+        return i == 0 or self.rows[i - 1][1] <= start
+
+    def add(self, start: int, end: int, kind: str, new: str) -> None:
+        i = bisect.bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.rows.insert(i, (start, end, kind, new))
+
+
+def _take_cards(text: str, pattern: re.Pattern, key: bytes, back: bool, taken: Taken) -> None:
     """Adds the cards of a text to what is taken."""
 
     def take(start: int, end: int) -> bool:
-        new = _card(key, text[start:end], back) if all(end <= s or start >= e for s, e, _, _ in taken) else None
+        new = _card(key, text[start:end], back) if taken.free(start, end) else None
         if new is not None:
-            taken.append((start, end, "card", new))
+            taken.add(start, end, "card", new)
         return new is not None
 
     for row in _DIGIT_ROW.finditer(text):
@@ -132,11 +149,18 @@ def _iban(key: bytes, found: str, back: bool) -> str | None:
     return "".join(c if c == " " else next(made) for c in found)
 
 
+def _ssn_valid(d: str) -> bool:
+    return not (d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000")
+
+
 def _ssn(key: bytes, found: str, back: bool) -> str | None:
     d = _only(found)
-    if d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000":
+    if not _ssn_valid(d):
         return None
-    return _fill(found, _digits(key, "ssn", d, back))
+    d = _digits(key, "ssn", d, back)
+    while not _ssn_valid(d):  # numbers that can't be are walked past, either way
+        d = _digits(key, "ssn", d, back)
+    return _fill(found, d)
 
 
 def _phone(key: bytes, found: str, back: bool) -> str | None:
@@ -241,30 +265,29 @@ def _patterns() -> tuple[re.Pattern, tuple[tuple[str, re.Pattern, Callable], ...
     return re.compile(r"[0-9@=:_]"), tuple((k, re.compile(p), f) for k, (p, f) in KINDS.items())
 
 
-def pseudonymise(text: str | None, key: bytes = TEST_KEY, back: bool = False) -> tuple[str | None, list[dict]]:
+def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[dict]]:
     """The text with pseudonyms, and what was found: kind, start, end in the text given."""
     quick, kinds = _patterns()
     if not text or not quick.search(text):
         return text, []
-    taken: list[tuple[int, int, str, str]] = []
+    taken = Taken()
     for kind, pattern, make in kinds:
         if kind == "card":
             _take_cards(text, pattern, key, back, taken)
             continue
         for m in pattern.finditer(text):
-            if all(m.end() <= s or m.start() >= e for s, e, _, _ in taken):
+            if taken.free(*m.span()):
                 new = make(key, m[0], back)
                 if new is not None:
-                    taken.append((m.start(), m.end(), kind, new))
-    taken.sort()
+                    taken.add(*m.span(), kind, new)
     at, parts = 0, []
-    for s, e, _, new in taken:
+    for s, e, _, new in taken.rows:
         parts += [text[at:s], new]
         at = e
-    return "".join([*parts, text[at:]]), [{"kind": k, "start": s, "end": e} for s, e, k, _ in taken]
+    return "".join([*parts, text[at:]]), [{"kind": k, "start": s, "end": e} for s, e, k, _ in taken.rows]
 
 
-def pseudonyms(docs: DataFrame, key: bytes = TEST_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (with pseudonyms), found (kind, start, end of each value) of every row."""
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("found", spans)])
