@@ -19,7 +19,8 @@ Keys are the id's 8 big-endian bytes with the sign flipped, so byte order is num
 Defined results: a null id has the empty key and so comes first; a null or empty text holds the
 end id alone; rows that repeat an id keep all their entries, in the order of their ids; a key
 with very many rows spreads over neighbouring shards. Each file is written under a name of its own
-attempt and then renamed, so a repeated or lost task leaves whole files only.
+attempt and then renamed, so a repeated or lost task leaves whole files only. A text of any length is one entry;
+an empty table gives no shards and an empty result; further columns play no part.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -42,14 +42,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored, work_dir
+from .common import caches_of, shuffle_width, stored, work_dir
 
 MAGIC = b"PLSST001"
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 1 << 18, 10, 7
 #: Words whose ids a worker keeps, and rows it sends on at once.
 WORDS, ROWS = 1_000_000, 500
-#: Stands between the words that go to the library together, and how many do.
-_MARK, _TOGETHER = "\x7f", 20
+#: Stands between the words that go to the library together, and how many do; separators that str.split() alone knows.
+_MARK, _TOGETHER, _ODD = "\x7f", 100, "\x1c\x1d\x1e\x1f"
 #: Id after each document.
 END_ID = 2
 
@@ -199,9 +199,9 @@ class LibraryEncoder:
     """The tokenizers library's ids of whole texts.
 
     The vocabulary's normalisation and word pattern do not cross white space, so each
-    white-space-delimited word goes to the library once and its ids are kept. New words go
-    there some at a time, with a mark of one id between them. Texts that hold the mark, a special
-    token's string or odd separators go to the library whole.
+    white-space-delimited word goes to the library once and its ids are kept: the ids of a whole text are
+    those of its words in a row. New words go there some at a time, with a mark of one id between them. Texts that
+    hold the mark, a special token's string or odd separators go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -216,7 +216,12 @@ class LibraryEncoder:
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.together = _TOGETHER if len(mark) == 1 else 1
         self.mark = mark[0] if mark else -1
-        self._odd = re.compile("|".join(["[\x1c-\x1f\x7f]", *map(re.escape, self.special)]))
+
+    def _whole(self, text: str) -> bool:
+        return any(map(text.__contains__, [_MARK, *_ODD, *self.special]))
+
+    def forget(self) -> None:
+        self.words = {}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -231,11 +236,12 @@ class LibraryEncoder:
             self.words.update(zip(new[i * step : (i + 1) * step], [*part, raw[at:]], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(self._odd.search(t)) for t in texts]
+        whole = [*map(self._whole, texts)]
         split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        if len(self.words) > WORDS:
-            self.words.clear()
-        self._learn([*set().union(*split).difference(self.words)])
+        wanted = set().union(*split)
+        if len(self.words) > WORDS:  # those in use stay
+            self.words = {w: self.words[w] for w in wanted if w in self.words}
+        self._learn([*wanted.difference(self.words)])
         get = self.words.__getitem__
         odd = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
         return [next(odd).tobytes() if w else b"".join(map(get, s)) for s, w in zip(split, whole, strict=True)]
@@ -253,6 +259,7 @@ def encode(docs: DataFrame, path: str, bounds: list[int], end_id: int = END_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = library(path), array("I", [end_id]).tobytes()
+        caches_of("sst", encoder.forget)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
