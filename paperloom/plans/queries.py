@@ -11,6 +11,7 @@ from ..functions.geometry import points_to_normalised, rect, share_inside
 from ..functions.text import is_float, natural_order
 from ..operators import answers, classify, grouping, layout, review, rules, scoring, templates, vision
 from ..sources import ingest, sinks
+from . import exam  # noqa: F401  registers queries
 from .registry import register
 
 
