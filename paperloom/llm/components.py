@@ -1,4 +1,8 @@
-"""Connected components of a link table by alternating large-star and small-star rounds."""
+"""Connected components of a link table by alternating large-star and small-star rounds.
+
+The smallest neighbours are pre-aggregated and stored before they are joined to the links, so both sides of the join
+come from plain exchanges and adaptive execution can split the links of a node that has very many.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,15 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, folder: str, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), folder, f"{name}-large")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, folder: str, name: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), folder, f"{name}-small")
     own = least.select("a", F.col("m").alias("b"))
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(own).distinct()
 
@@ -36,7 +40,8 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     mark, i = _mark(edges), 0
     while mark[0]:
         i += 1
-        edges = stored(_small(_large(edges)), folder, f"{name}-{i}")
+        large = stored(_large(edges, folder, f"{name}-{i}"), folder, f"{name}-{i}-stars")
+        edges = stored(_small(large, folder, f"{name}-{i}"), folder, f"{name}-{i}")
         before, mark = mark, _mark(edges)
         if before == mark:
             break

@@ -39,7 +39,10 @@ def test_exact_dedup_edges(spark):
     assert out.columns == docs_of(spark, EDGE).columns and sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, None), (3, " \t"), (4, "one two"), (6, LONG), (8, "x"), (9, "é" * 300)]
 
 
-def test_near_dedup_families(spark):
+@pytest.mark.parametrize("group", [256, 3])
+def test_near_dedup_families(spark, monkeypatch, group):
+    monkeypatch.setattr(minhash, "GROUP", group)  # 3: stars within stars
+    monkeypatch.setattr(minhash, "EDGES", 5)
     rnd = random.Random(5)
     rows = []
     for _ in range(4):
@@ -213,8 +216,18 @@ def test_texts_stay_where_no_language_can_be_learnt(spark):
 
 
 def test_pseudonym_rows(spark):
-    got = pii.pseudonyms(docs_of(spark, EDGE)).collect()
-    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, EDGE))
+    """Equal values stay linked across documents, different ones apart; what isn't found stays; the key brings all back."""
+    key = b"key of these tests"
+    card, mail, day = "4111 1111 1111 1111", "ann.lee@mail.example.com", "2012-03-04"
+    rows = EDGE + [(20, f"paid by {card} on {day}"), (21, f"{mail} wrote: {card}"), (22, f"{mail}, {mail} and bob.lee@mail.example.com"), (22, f"{mail}, {mail} and bob.lee@mail.example.com"), (23, LONG + f" {day}")]
+    got = pii.pseudonyms(docs_of(spark, rows), key).collect()
+    assert sorted((str(r["doc_id"]), str(pii.pseudonymise(r["text"], key, True)[0])) for r in got) == sorted((str(i), str(t)) for i, t in rows)
+    assert sorted(str((r["doc_id"], r["text"])) for r in got if not r["found"]) == sorted(str(r) for r in EDGE)
+    by = {r["doc_id"]: r for r in got if r["found"]}
+    spans = {i: [by[i]["text"][f["start"] : f["end"]] for f in by[i]["found"]] for i in (20, 21, 22)}  # pseudonyms keep their lengths
+    assert spans[20][0] == spans[21][1] != card and spans[21][0] == spans[22][0] == spans[22][1] != spans[22][2] and mail not in str(spans)
+    assert by[23]["text"].startswith(LONG) and by[23]["text"].endswith(spans[20][1])
+    assert pii.pseudonyms(docs_of(spark, rows).where("false"), key).count() == 0
 
 
 def test_pipeline_against_brute_force(spark, sql, library):
