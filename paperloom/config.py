@@ -14,6 +14,8 @@ class Config:
     preview_dpi: int = 130
     crop_dpi: int = 200
     vision_provider: str = "mock"
+    vision_fallback: str = ""
+    vision_second: str = ""
     vision_concurrency: int = 5
     vision_retries: int = 2
     vision_backoff_s: float = 2.0

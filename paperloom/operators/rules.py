@@ -97,11 +97,12 @@ def duplicate_labels(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df.groupBy(*keys, label).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def option_count_rule(question_type: Column, n: Column) -> Column:
-    """Which of the option count rules fires, if any (both may: then the partial set is named)."""
-    partial = ~question_type.isin("numerical", "unknown") & n.between(1, OPTIONS - 1)
-    wrong = F.when(question_type == "numerical", n != 0).when(question_type == "unknown", F.lit(False)).otherwise(n != OPTIONS)
-    return F.when(partial, "OPT_PARTIAL_MARKER_SET").when(wrong, "OPT_COUNT_UNEXPECTED")
+def partial_markers(question_type: Column, n: Column) -> Column:
+    return ~question_type.isin("numerical", "unknown") & n.between(1, OPTIONS - 1)
+
+
+def unexpected_count(question_type: Column, n: Column) -> Column:
+    return F.when(question_type == "numerical", n != 0).when(question_type == "unknown", F.lit(False)).otherwise(n != OPTIONS)
 
 
 def option_issues(questions: DataFrame) -> DataFrame:
@@ -112,11 +113,10 @@ def option_issues(questions: DataFrame) -> DataFrame:
     twice = duplicate_labels(options.select("document_id", "question_id", "number", F.col("o.label").alias("label")), ["document_id", "question_id", "number"], "label")
     blocks = options.select("document_id", "question_id", "number", F.col("o.label").alias("label"), F.posexplode("o.blocks").alias("at", "b"))
     bare = blocks.where((F.col("b.content_type") == "image") & F.col("b.clean_crop_path").isNull())
-    wrong = F.when(kind == "numerical", n != 0).when(kind == "unknown", F.lit(False)).otherwise(n != OPTIONS)
     parts = [
         issue_rows(twice, "OPT_DUPLICATE_LABEL", "error", F.concat(about, F.lit(" has option label "), "label", F.lit(" more than once.")), **own),
-        issue_rows(questions.where(wrong), "OPT_COUNT_UNEXPECTED", "warning", F.concat(about, F.lit(" has "), n.cast("string"), F.lit(" options.")), **own),
-        issue_rows(questions.where(~kind.isin("numerical", "unknown") & n.between(1, OPTIONS - 1)), "OPT_PARTIAL_MARKER_SET", "error", F.concat(about, F.lit(" has some option markers only.")), **own),
+        issue_rows(questions.where(unexpected_count(kind, n)), "OPT_COUNT_UNEXPECTED", "warning", F.concat(about, F.lit(" has "), n.cast("string"), F.lit(" options.")), **own),
+        issue_rows(questions.where(partial_markers(kind, n)), "OPT_PARTIAL_MARKER_SET", "error", F.concat(about, F.lit(" has some option markers only.")), **own),
         issue_rows(bare, "OPT_IMAGE_OPTION_NO_ASSET", "error", F.concat(about, F.lit("'s option "), "label", F.lit(" has an image block without a crop: "), F.col("at").cast("string")), **own),
     ]
     return reduce(DataFrame.unionByName, parts)

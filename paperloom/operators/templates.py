@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .rules import severity_rank
 
 # Statuses that may match, weights, threshold, and the lifecycle's numbers.
@@ -52,26 +53,31 @@ def match(prints: DataFrame, versions: DataFrame) -> DataFrame:
     Templates are a registry of a few rows. With no more than 10 000 they are broadcast, else each
     side goes through a shuffled nested loop of Spark's own choice.
     """
-    sig = candidates(versions).select("template_id", "version", "kind", F.col("requires_text_layer").alias("needs_text"), "branding_strings", "min_question_marker_hits", "seq")
+    sig = candidates(versions).select("template_id", "version", "kind", "adapter_ref", F.col("requires_text_layer").alias("needs_text"), "branding_strings", "min_question_marker_hits", "seq")
     few = sig.limit(10_001).count() <= 10_000
     both = prints.crossJoin(F.broadcast(sig) if few else sig)
     value = score(F.col("kind"), F.col("requires_text_layer"), F.col("needs_text"), F.col("branding_strings_found"), F.col("branding_strings"), F.col("question_marker_hits"), F.col("min_question_marker_hits"), F.col("option_marker_hits"), F.col("answer_key_marker_found"))
+    plain = F.col("kind") != "vision_layout"
+    there, lacking = F.array_intersect("branding_strings", "branding_strings_found"), F.array_except("branding_strings", "branding_strings_found")
+    enough = F.when(plain, F.col("question_marker_hits") >= F.col("min_question_marker_hits")).otherwise(F.col("question_marker_hits") <= F.col("min_question_marker_hits"))
     reasons = F.array_compact(F.array(
         F.when(F.col("requires_text_layer") == F.col("needs_text"), "text layer as expected").otherwise("text layer not as expected"),
-        F.when((F.col("kind") != "vision_layout") & (F.size("branding_strings") > 0), F.concat(F.size(F.array_intersect("branding_strings", "branding_strings_found")).cast("string"), F.lit(" of "), F.size("branding_strings").cast("string"), F.lit(" branding strings"))),
-        F.concat(F.col("question_marker_hits").cast("string"), F.lit(" question marks")),
-        F.when(F.col("kind") != "vision_layout", F.when(F.col("option_marker_hits") > 0, "option marks").otherwise("no option marks")),
-        F.when(F.col("kind") != "vision_layout", F.when(F.col("answer_key_marker_found"), "answer key").otherwise("no answer key")),
+        F.when(plain & (F.size(there) > 0), F.concat(F.lit("branding found: "), F.array_join(there, ", "))),
+        F.when(plain & (F.size(lacking) > 0), F.concat(F.lit("branding not found: "), F.array_join(lacking, ", "))),
+        F.concat(F.col("question_marker_hits").cast("string"), F.lit(" question marks, as expected: "), F.when(enough, "yes").otherwise("no")),
+        F.when(plain, F.when(F.col("option_marker_hits") > 0, "option marks").otherwise("no option marks")),
+        F.when(plain, F.when(F.col("answer_key_marker_found"), "answer key").otherwise("no answer key")),
     ))
     rank = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("score"), "seq", "template_id", "version"))
     out = both.withColumn("score", value).withColumn("reasons", reasons).withColumn("rank", rank)
-    return out.select("document_id", "template_id", "version", "kind", "score", "reasons", "rank", ((F.col("rank") == 1) & (F.col("score") >= THRESHOLD)).alias("matched"))
+    return out.select("document_id", "template_id", "version", "kind", "adapter_ref", "score", "reasons", "rank", ((F.col("rank") == 1) & (F.col("score") >= THRESHOLD)).alias("matched"))
 
 
-def validation_score(issues: DataFrame, keys: list[str]) -> DataFrame:
-    """1 without errors, 0.5 with errors, 0 with a blocking issue."""
-    worst = F.max(severity_rank(F.col("severity")))
-    return issues.groupBy(*keys).agg(F.when(worst >= 3, 0.0).when(worst == 2, 0.5).otherwise(1.0).alias("score"))
+def validation_score(issues: DataFrame, keys: list[str], documents: DataFrame) -> DataFrame:
+    """1 without errors, 0.5 with errors, 0 with a blocking issue; each document has a score, also one without issues."""
+    worst = issues.groupBy(*keys).agg(F.max(severity_rank(F.col("severity"))).alias("worst"))
+    out = documents.select(*keys).distinct().join(worst, keys, "left")
+    return out.select(*keys, F.when(F.col("worst") >= 3, 0.0).when(F.col("worst") == 2, 0.5).otherwise(1.0).alias("score"))
 
 
 def lifecycle(runs: DataFrame, versions: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -79,23 +85,42 @@ def lifecycle(runs: DataFrame, versions: DataFrame, order: list[str], keys: list
 
     The baseline is a running mean that starts with the version's own baseline and runs; a
     validated version is demoted for good by a score below the baseline before it.
+
+    A template may have most of all runs, so its running sums are made in parts: the log is dealt by range, each part is summed,
+    and a part's rows start from the sums of the parts before it.
     """
     keys = keys or ["template_id", "version"]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place, part, last = F.struct(*order), "__part", "__last"
+    dealt = cut(runs.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, part).agg(F.count("*").alias("__k"), F.sum("score").alias("__t"))  # a row for each key and part
+    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, part, F.coalesce(F.sum("__k").over(ahead), F.lit(0)).alias("__k0"), F.coalesce(F.sum("__t").over(ahead), F.lit(0.0)).alias("__t0"))
     start = versions.select(*keys, F.col("baseline_score").alias("__b"), F.col("run_count").alias("__n"), F.col("status").alias("__s"))
-    out = runs.join(start, keys)
+    start = start.join(dealt.groupBy(*keys).agg(F.min_by("score", place).alias("__first")), keys)
+    w = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.withColumns({"__k": F.count("*").over(w), "__t": F.sum("score").over(w)}).join(sums, [*keys, part]).join(start, keys)
     weight = F.when(F.col("__b").isNull(), F.lit(0)).otherwise(F.col("__n"))
     # without a baseline the first score becomes it; runs counted before then count afterwards
-    seen, total = F.count("*").over(w), F.sum("score").over(w)
-    first = F.first("score").over(w)
+    seen, total = F.col("__k0") + F.col("__k"), F.col("__t0") + F.col("__t")
     extra = F.when(F.col("__b").isNull(), F.col("__n")).otherwise(F.lit(0))
-    after = (F.coalesce("__b", F.lit(0.0)) * weight + first * extra + total) / (weight + extra + seen)
-    before = F.when(seen == 1, F.col("__b")).otherwise((F.coalesce("__b", F.lit(0.0)) * weight + first * extra + total - F.col("score")) / (weight + extra + seen - 1))
-    out = out.withColumn("baseline", after).withColumn("run_count", F.col("__n") + seen)
+    after = (F.coalesce("__b", F.lit(0.0)) * weight + F.col("__first") * extra + total) / (weight + extra + seen)
+    before = F.when(seen == 1, F.col("__b")).otherwise((F.coalesce("__b", F.lit(0.0)) * weight + F.col("__first") * extra + total - F.col("score")) / (weight + extra + seen - 1))
     drops = (F.col("__n") + seen - 1 >= MIN_RUNS) & before.isNotNull() & (F.col("score") < before - TOLERANCE)
-    out = out.withColumn("__d", F.coalesce(drops, F.lit(False)).cast("int"))
-    demoted = F.max("__d").over(w) == 1
-    return out.withColumn("status", F.when((F.col("__s") == "validated") & demoted, "monitored").otherwise(F.col("__s"))).drop("__b", "__n", "__s", "__d")
+    out = out.withColumns({"baseline": after, "run_count": F.col("__n") + seen, "__d": F.coalesce(drops, F.lit(False))})
+    demoted = out.where("__d").groupBy(*keys).agg(F.min(place).alias(last))
+    out = out.join(demoted, keys, "left")
+    fallen = F.col(last).isNotNull() & (place >= F.col(last))
+    out = out.withColumn("status", F.when((F.col("__s") == "validated") & fallen, "monitored").otherwise(F.col("__s")))
+    return out.drop(part, last, "__k", "__t", "__k0", "__t0", "__b", "__n", "__s", "__first", "__d")
+
+
+def after_runs(versions: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
+    """Versions with the baseline, run count and status after the last of their runs."""
+    keys = ["template_id", "version"]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct("baseline", "run_count", "status"), F.struct(*order)).alias("__r"))
+    out = versions.join(last, keys, "left")
+    new = {"baseline_score": F.coalesce("__r.baseline", "baseline_score"), "run_count": F.coalesce("__r.run_count", "run_count").cast("int"), "status": F.coalesce("__r.status", "status")}
+    return out.withColumns(new).select(*versions.columns)
 
 
 def list_templates(templates: DataFrame, versions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.geometry import rect, valid_box
 from ..functions.text import derived_id
 
 # Region types, those skipped and those of a stem, box padding, thresholds.
-REGION_TYPES = ["question_number", "question_stem", "option_label", "option_content", "diagram", "equation", "table", "shared_passage", "header", "footer", "subject_heading", "section_heading", "instructions", "answer_key", "page_number", "unknown"]
+REGION_TYPES = ["header", "footer", "subject_heading", "section_heading", "instructions", "shared_passage", "question_number", "question_stem", "option_label", "option_content", "diagram", "equation", "table", "answer_key", "page_number", "unknown"]
 SKIPPED = ["header", "footer", "subject_heading", "section_heading", "instructions", "answer_key", "page_number"]
 STEM = ["question_stem", "diagram", "equation", "table", "shared_passage", "unknown"]
 OPTION = ["option_label", "option_content"]
@@ -122,13 +122,18 @@ def dropped_warnings(rows: DataFrame) -> DataFrame:
     return bad.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(F.concat("region_id", F.lit(": "), "role"))).alias("warnings"))
 
 
+def crop_path() -> Column:
+    """Where the crop of an attributed region belongs."""
+    return F.concat(F.lit("images/"), F.col("document_id").cast("string"), F.lit("_p"), F.col("page_number").cast("string"), F.lit("_"), F.col("region_id"), F.lit(".png"))
+
+
 def block(row: str = "") -> Column:
     """A content block of an attributed region."""
     evidence = F.struct(F.col("page_number").alias("page_number"), F.col("box").alias("bbox"), F.lit("vision_layout").alias("extraction_method"), F.lit(None).cast("string").alias("source_crop_path"))
     return F.struct(
         F.col("pos").alias("sequence"), derived_id(F.col("document_id"), F.col("page_number"), F.col("pos"), F.lit(row)).alias("block_id"),
         F.when(F.col("contains_visual"), "image").otherwise("text").alias("content_type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("latex"),
-        F.concat(F.lit("images/"), F.col("document_id").cast("string"), F.lit("_p"), F.col("page_number").cast("string"), F.lit("_"), F.col("region_id"), F.lit(".png")).alias("clean_crop_path"),
+        crop_path().alias("clean_crop_path"),
         evidence.alias("evidence"), F.col("confidence").alias("confidence"), F.lit("needs_review").alias("status"),
     )
 
@@ -154,12 +159,19 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def run_metrics(layouts: DataFrame, questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per document: pages, regions, questions, pages with regions that couldn't be placed."""
     per = layouts.groupBy("document_id").agg(F.count("*").alias("page_count"), F.sum(F.size("regions")).alias("region_count"))
     found = questions.groupBy("document_id").agg(F.count("*").alias("question_count"))
     bad = dropped_warnings(rows).groupBy("document_id").agg(F.count("*").alias("pages_with_dropped_regions"))
     return per.join(found, "document_id", "left").join(bad, "document_id", "left").fillna(0)
 
 
+def pages_to_look_at_again(flagged: DataFrame, layouts: DataFrame) -> DataFrame:
+    """document_id, page_number, reason, first: each page with flagged questions once, its reasons, and its first regions as JSON."""
+    asked = flagged.groupBy("document_id", F.col("page_start").alias("page_number")).agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("Q"), "number", F.lit(": "), "reason"))), "; ").alias("reason"))
+    return asked.join(layouts.select("document_id", "page_number", F.to_json("regions").alias("first")), ["document_id", "page_number"], "left")
+
+
 def least_confidence(stem: Column, options: Column) -> Column:
     """The smallest confidence of a question's blocks; 0 without any."""
     stems = F.transform(stem, lambda b: b["confidence"])
@@ -167,6 +179,7 @@ def least_confidence(stem: Column, options: Column) -> Column:
     return F.coalesce(F.array_min(F.concat(stems, rest)), F.lit(0.0))
 
 
+# The reasons in escalation_reason are output values.
 def escalation_reason(confidence: Column, option_count: Column, page_warned: Column, clipped: Column) -> Column:
     """Why a question goes to the second detector, or null; the first reason counts."""
     return (

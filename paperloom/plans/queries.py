@@ -11,7 +11,6 @@ from ..functions.geometry import points_to_normalised, rect, share_inside
 from ..functions.text import is_float, natural_order
 from ..operators import answers, classify, grouping, layout, review, rules, scoring, templates, vision
 from ..sources import ingest, sinks
-from . import exam  # noqa: F401  registers queries
 from .registry import register
 
 
@@ -79,12 +78,6 @@ def duplicate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.gate(rows, None, "doc_id")
 
 
-@register("content_hash", "SELECT page_id, sha256(html) AS sha256, strlen(html) AS n_bytes, starts_with(html, '<html') AS has_magic FROM pages")
-def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.encode("html", "UTF-8")
-    return t(spark, sf_dir, "pages").select("page_id", F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("n_bytes"), (F.substring(raw, 1, 5) == F.lit(b"<html")).alias("has_magic"))
-
-
 # -- answers --------------------------------------------------------------------------------------
 
 
@@ -117,16 +110,6 @@ def answer_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", F.explode(values).alias("value")).select("p_partkey", "value", is_float(F.col("value")).alias("numeric"))
 
 
-@register("answer_points_to_missing", """
-    WITH e AS (SELECT event_id, user_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
-    SELECT a.event_id, a.k AS answer FROM e a WHERE a.event_type = 'purchase'
-      AND NOT EXISTS (SELECT 1 FROM e b WHERE b.user_id = a.user_id AND b.event_type <> 'purchase' AND b.k = a.k)""")
-def answer_points_to_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").alias("answer"))
-    options = e.where("event_type <> 'purchase'").select("user_id", "answer").distinct()
-    return e.where("event_type = 'purchase'").join(options, ["user_id", "answer"], "left_anti").select("event_id", "answer")
-
-
 # -- sequence and options -------------------------------------------------------------------------
 
 
@@ -168,7 +151,9 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     kind = F.when(F.col("o_orderstatus") == "F", "numerical").when(F.col("o_orderstatus") == "P", "unknown").otherwise("single_correct")
     rows = t(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").fillna(0, ["n"]).withColumn("kind", kind)
-    return rows.withColumn("rule_code", rules.option_count_rule(F.col("kind"), F.col("n")))
+    # both may fire: then the partial set is named
+    code = F.when(rules.partial_markers(F.col("kind"), F.col("n")), "OPT_PARTIAL_MARKER_SET").when(rules.unexpected_count(F.col("kind"), F.col("n")), "OPT_COUNT_UNEXPECTED")
+    return rows.withColumn("rule_code", code)
 
 
 @register("option_count", f"SELECT o_orderkey, kind, n, rule_code FROM ({_COUNT_SQL})")
@@ -445,9 +430,10 @@ def baseline_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("validation_score", f"""
-    WITH i AS ({_ISSUE_SQL}) SELECT document_id, CASE WHEN bool_or(severity = 'blocking') THEN 0.0 WHEN bool_or(severity = 'error') THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM i GROUP BY 1""")
+    WITH i AS ({_ISSUE_SQL}) SELECT c_custkey AS document_id, CASE WHEN coalesce(bool_or(severity = 'blocking'), false) THEN 0.0 WHEN coalesce(bool_or(severity = 'error'), false) THEN 0.5 ELSE 1.0 END::DOUBLE AS score
+    FROM customer LEFT JOIN i ON document_id = c_custkey GROUP BY 1""")
 def validation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.validation_score(_issues(spark, sf_dir), ["document_id"])
+    return templates.validation_score(_issues(spark, sf_dir), ["document_id"], t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id")))
 
 
 @register("latest_state", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max((ts, event_id))[2] AS event_id FROM events GROUP BY ALL")
@@ -480,11 +466,6 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(*natural_order(F.col("number")), "p_partkey")).cast("long"))
 
 
-@register("canonical_assemble", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey) AS text FROM lineitem GROUP BY 1")
-def canonical_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.ordered_text(t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], F.col("l_partkey").cast("string"))
-
-
 @register("markdown_export", """
     WITH o AS (SELECT l_orderkey, string_agg(E'\n- (' || l_linenumber || ') part ' || l_partkey, '' ORDER BY l_linenumber, l_partkey) AS shown FROM lineitem GROUP BY 1)
     SELECT o_orderkey, '### Q' || o_orderkey || E'\n\n' || o_orderpriority || coalesce(E'\n' || shown, '') || CASE WHEN o_orderstatus = 'F' THEN E'\n\n**Answer:** F' ELSE E'\n\n**Answer:** (' || o_orderstatus || ')' END || E'\n' AS markdown
@@ -499,6 +480,4 @@ def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", sinks.markdown(F.col("o_orderkey"), kind, F.col("o_orderpriority"), none, options, F.col("o_orderstatus")).alias("markdown"))
 
 
-@register("stage_progress", "SELECT user_id AS document_id, event_type AS stage, count(*) AS completed, max(ts) AS latest FROM events GROUP BY ALL")
-def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("document_id"), F.col("event_type").alias("stage")).agg(F.count("*").alias("completed"), F.max("ts").alias("latest"))
+from . import exam, seen  # noqa: E402, F401  they register theirs, with helpers of this module

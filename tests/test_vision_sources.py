@@ -184,6 +184,132 @@ def test_stream(spark, small_plans, tmp_path):
     assert final.where("rule_code = 'SEQ_GAP'").count() == 1
 
 
+def counting(log):
+    """Made here, so that workers get it by value."""
+
+    class Counting:
+        """Writes a line for each call: a detector that is paid for."""
+
+        def _say(self, what):
+            with open(log, "a") as f:
+                f.write(what + "\n")
+
+        def detect_layout(self, document_id, page):
+            self._say(f"first {page}")
+            if page == 3:
+                raise RuntimeError("no page 3")
+            one = lambda rid, kind, y, number, label=None, confidence=0.9: {"region_id": rid, "region_type": kind, "bbox": {"x0": 0.1, "y0": y, "x1": 0.9, "y1": y + 0.1}, "question_number_hint": number, "option_label_hint": label, "contains_visual": False, "confidence": confidence}
+            regions = [one("s", "question_stem", 0.1, str(page), confidence=0.3 if page == 2 else 0.9), *(one(f"o{k}", "option_content", 0.3 + k / 10, str(page), str(k)) for k in (1, 2, 3, 4))]
+            return {"regions": regions, "reading_order": [r["region_id"] for r in regions]}
+
+    return Counting
+
+
+def test_vision_path_calls_the_detector_once_a_page(spark, tmp_path):
+    from paperloom.plans import pipeline
+
+    log = str(tmp_path / "calls")
+    first_detector = counting(log)
+
+    class Second(first_detector):
+        def detect_again(self, document_id, page, reason, first):
+            self._say(f"again {page}: {reason} ({len(first)} regions)")
+            return {"regions": [dict(first[0], region_id="n", confidence=0.95)], "reading_order": []}
+
+    decoders.register_detector("first", first_detector)
+    decoders.register_detector("second", Second)
+    pages = spark.createDataFrame([("d", n) for n in (1, 2, 3)], "document_id string, page_number int")
+    tables = pipeline.layout.Layout(pages, None, None, None, None)
+    out = pipeline.vision_path(tables, pipeline.Given(detector="first", second="second"))
+    for _ in range(2):
+        got = {r["number"]: (r["stem_blocks"][0]["confidence"], len(r["options"]), r["confidence"]) for r in out.questions.collect()}
+    assert got == {"1": (0.9, 4, 0.5), "2": (0.95, 4, 0.5)}
+    assert sorted(open(log).read().split("\n")[:-1]) == ["again 2: Q2: low detection confidence (5 regions)", "first 1", "first 2", "first 3"]
+    m = out.metrics.first()
+    assert (m["page_count"], m["question_count"], m["escalated_count"], m["skipped_count"]) == (3, 2, 1, 0) and out.errors.count() == 0
+    assert {(r["number"], r["outcome"]) for r in out.escalated.collect()} == {("2", "escalated")}
+
+
+def test_provider_factory():
+    assert decoders.provider(get_config("U_")) == "mock"
+    from paperloom.config import Config
+
+    decoders.register_detector("paid", counting(""))
+    name = decoders.provider(Config(vision_provider="paid", vision_fallback="mock", vision_retries=1))
+    made = decoders._DETECTORS[name]()
+    assert isinstance(made, decoders.Retrying) and isinstance(made.fallback, decoders.Mock) and made.retries == 1
+    assert decoders._DETECTORS[decoders.provider(Config(vision_provider="paid"))]().fallback is None
+    with pytest.raises(KeyError):
+        decoders.provider(Config(vision_provider="nothing"))
+
+
+def test_stitched_and_planned_crops(spark):
+    a, b = np.full((10, 20), 10, np.uint8), np.full((6, 10), 200, np.uint8)
+    rows = [("c", 1, 6, 10, 1, b.tobytes()), ("c", 0, 10, 20, 1, a.tobytes())]
+    got = images.stitched(spark.createDataFrame(rows, "crop_path string, part int, height int, width int, nChannels int, data binary")).first()
+    assert bytes(got["content"]) == images.png(images.stack([np.repeat(x[:, :, None], 3, 2) for x in (a, b)]))
+    page = spark.createDataFrame([("d", 1, 100, 100, 1, np.arange(10_000, dtype=np.int64).astype(np.uint8).tobytes())], "document_id string, page_number int, height int, width int, nChannels int, data binary")
+    rect = spark.sql("SELECT 'd' AS document_id, 1 AS page_number, 'p' AS crop_path, named_struct('x0', 8.0D, 'y0', 8.0D, 'x1', 18.0D, 'y1', 18.0D) AS box")
+    want = np.arange(10_000).astype(np.uint8).reshape(100, 100)[5:21, 5:21]
+    assert bytes(images.page_crops(page, rect, 72).first()["content"]) == images.png(want)
+    stat = images.region_statistics(page, spark.sql("SELECT 'd' AS document_id, 1 AS page_number, 'p' AS path, named_struct('x0', 0.0D, 'y0', 0.0D, 'x1', 0.5D, 'y1', 0.25D) AS box")).first()
+    assert (stat["width"], stat["height"]) == (50, 25)
+
+
+def pdf(pages, flate=True):
+    """A small file: each page is (content, number of images)."""
+    import zlib
+
+    out, kids = [], []
+    for i, content in enumerate(pages):
+        raw = zlib.compress(content.encode("latin-1")) if flate else content.encode("latin-1")
+        kids.append(f"{10 + 2 * i} 0 R")
+        out.append(f"{10 + 2 * i} 0 obj << /Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R >> endobj\n".encode())
+        out.append(f"{11 + 2 * i} 0 obj << /Length {len(raw)} {'/Filter /FlateDecode' if flate else ''} >>\nstream\n".encode() + raw + b"\nendstream endobj\n")
+    head = f"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [{' '.join(kids)}] /Count {len(pages)} /MediaBox [0 0 595 842] /Resources 3 0 R >> endobj\n3 0 obj << /Font << /F1 4 0 R >> /XObject << /I1 5 0 R >> >> endobj\n4 0 obj << /Type /Font /FirstChar 32 /Widths [{' '.join(['250'] + ['600'] * 94)}] >> endobj\n5 0 obj << /Subtype /Image >> endobj\n"
+    return head.encode() + b"".join(out) + b"trailer << /Root 1 0 R >>"
+
+
+@pytest.mark.parametrize("flate", [True, False])
+def test_pdf_decoder(flate):
+    from paperloom.sources.pdf import PdfDecoder
+
+    page = "BT /F1 10 Tf 30 742 Td (Q1.) Tj 40 0 Td [(Which \\(one\\)) -500 (is it?)] TJ ET q 100 0 0 50 200 300 cm /I1 Do Q 0 0 m 10 10 l S 5 5 20 20 re f"
+    rows = list(PdfDecoder().decode("d", pdf([page, "BT /F1 10 Tf 30 700 Td (ANSWER KEY 1. \\(2\\)) Tj ET"], flate)))
+    by = lambda kind, n=1: [r for k, r in rows if k == kind and r["page_number"] == n]
+    assert [(p["text"], p["drawing_count"], p["height_pt"]) for p in by("pages") + by("pages", 2)] == [("Q1.Which (one)is it?", 2, 842.0), ("ANSWER KEY 1. (2)", 0, 842.0)]
+    assert [s["text"] for s in by("spans")] == ["Q1.", "Which (one)is it?"] and [w["word"] for w in by("words")] == ["Q1.", "Which", "(one)", "is", "it?"]
+    mark = by("spans")[0]
+    assert (mark["x0"], mark["x1"]) == (30, 48) and abs(mark["y0"] - 92) < 1e-9 and abs(mark["y1"] - 102) < 1e-9 and len(by("chars")) == 20
+    assert [(i["x0"], i["y0"], i["x1"], i["y1"]) for i in by("images")] == [(200, 492, 300, 542)]
+
+
+def test_files_to_outcome(spark, tmp_path):
+    """Files of all fates: a paper, its copy, an unknown paper, no PDF, a broken one."""
+    from paperloom.operators import templates
+    from paperloom.plans import pipeline
+    from pyspark.sql import functions as F
+
+    long = "x" * 220
+    option = lambda k, x: f"{x} 600 Td (\\({k}\\) v{k}) Tj {-x} -600 Td "
+    paper = f"BT /F1 10 Tf 30 742 Td (Q1.) Tj 0 -20 Td (How many?) Tj 0 -702 Td (Question Paper MathonGo {long}) Tj 30 -20 Td ET BT /F1 10 Tf 0 0 Td {''.join(option(k, 60 + 120 * k) for k in range(1, 5))}ET"
+    (tmp_path / "a.pdf").write_bytes(pdf([paper, "BT /F1 10 Tf 30 700 Td (ANSWER KEY 1. \\(2\\)) Tj ET"]))
+    (tmp_path / "b.pdf").write_bytes((tmp_path / "a.pdf").read_bytes())
+    (tmp_path / "c.pdf").write_bytes(pdf([f"BT /F1 10 Tf 30 700 Td ({long}) Tj ET"]))
+    (tmp_path / "d.pdf").write_bytes(b"no PDF")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF-1.4 broken")
+    versions = templates.default_templates(spark).withColumn("min_question_marker_hits", F.lit(1))
+    done = pipeline.process_files(spark, str(tmp_path), "pdf", versions)
+    status = {r["document_id"]: r for r in done.status.collect()}
+    assert sorted(r["status"] for r in status.values()) == ["duplicate", "failed", "invalid", "succeeded", "unmatched"]
+    assert next(r["error"] for r in status.values() if r["status"] == "failed") == "the file has no catalog"
+    q = done.questions.collect()
+    assert [(r["number"], r["question_type"], r["answer"]) for r in q] == [("1", "single_correct", "2")]
+    assert done.jobs.count() == 5 and {r["stage"] for r in done.stages.collect()} == {"ingest", "match_template", "extract", "validate_questions"}
+    after = {r["template_id"]: (r["run_count"], r["status"]) for r in done.versions.collect()}
+    assert after == {"text_exam": (9, "validated"), "vision_exam": (0, "draft")}
+
+
 def test_config(monkeypatch):
     monkeypatch.setenv("T_RENDER_DPI", "72")
     assert get_config("T_").render_dpi == 72 and get_config("U_").vision_concurrency == 5
