@@ -25,7 +25,9 @@ Scripts without spaces (Han, kana, Thai, Lao, Khmer, Burmese) are cut into chara
 Defined results: null texts are empty; an item is a pair of item_id (which may be null) and text, and rows that
 repeat it count once; items below ``SHORTEST`` words are searched for verbatim only, items without letters and digits
 not at all; items below ``WINDOW`` words are one window; rows repeating id and text are found as one. Benchmark
-windows are broadcast up to ``BROADCAST_ROWS`` of them, counted first, and shuffled beyond.
+windows are broadcast up to ``BROADCAST_ROWS`` of them, counted first, and shuffled beyond. Texts of any length are taken
+whole; where a document holds an item several times, its best passage counts; empty tables give empty results; further
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, work_dir
+from .common import private, row_name, stored, work_dir
 
 WINDOW, SHORTEST, SLOTS, LEAST = 8, 5, 4, 6
 #: Rows of some 100 bytes: 20 MB at most.
@@ -43,6 +45,7 @@ BROADCAST_ROWS = 200_000
 # Units that follow a number, and numbers in words.
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|oz|l|ml|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|percent|usd|eur|dollars|euros|cents|miles|meters|metres|feet|inches|liters|litres|grams|degrees|hz|v|w|kw|j|n|pa|mol"
 WORD_NUMBERS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million"
+_FIRST = "".join(sorted({w[0] for w in WORD_NUMBERS.split("|")}))
 _NUM, _UNIT, _NAME = "\u0001", "\u0002", "\u0003"
 # Scripts without spaces; the prolonged sound marks belong to no script. Looking a script up is slow, so blocks
 # of characters that hold these scripts, and others, say which texts are looked through.
@@ -58,14 +61,18 @@ def _cut(text: Column) -> Column:
 
 
 def tagged_words(text: Column) -> Column:
-    """Words without case and punctuation; numbers, units and names begin with their tag."""
-    s = F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(_cut(text), "[\u0001-\u0003]", " "), F.lit(" ")), r"\s+", " ")
-    s = F.regexp_replace(s, r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}+)", _NAME + "$1")
+    """Words without case and punctuation; numbers, units and names begin with their tag.
+
+    Patterns begin with a space, classes with the letters that most texts are made of, and nothing is replaced by itself: so they are fast.
+    """
+    s = F.regexp_replace(F.concat(F.lit(" "), _cut(text), F.lit(" ")), "[\\t-\\r\u0001-\u0003]", " ")
+    s = F.regexp_replace(s, " {2,}", " ")
+    s = F.regexp_replace(s, r" (?<=[a-z,;\p{Ll}] )([A-Z\p{Lu}][a-z\p{L}]+)", f" {_NAME}$1")
     s = F.lower(s)
-    s = F.regexp_replace(s, rf"(?<= )[\p{{Ps}}\p{{Sc}}+-]*(\d+(?:[.,:/-]\d+)*|(?:{WORD_NUMBERS})(?= ))%?(?: ?({UNITS}))?(?=[^\p{{L}}\d]* )", f" {_NUM}$1 {_UNIT}$2")
+    s = F.regexp_replace(s, rf" (?=[\d{_FIRST}\p{{Ps}}\p{{Sc}}+-])[\p{{Ps}}\p{{Sc}}+-]*(\d+(?:[.,:/-]\d+)*|(?:{WORD_NUMBERS})(?= ))%?(?: ?({UNITS}))?(?=[^\p{{L}}\d]* )", f"  {_NUM}$1 {_UNIT}$2")
     s = F.regexp_replace(s, f"{_UNIT}(?![a-z])", "")
-    s = F.regexp_replace(s, r"[^\p{L}\p{M}\p{N}\u0001-\u0003 ]+", "")
-    return F.filter(F.split(F.trim(s), " +"), lambda w: w != "")
+    s = F.regexp_replace(s, r"[^a-z \d\p{L}\p{M}\p{N}\u0001-\u0003]+", "")
+    return F.array_remove(F.split(s, " "), "")
 
 
 def plain_words(text: Column) -> Column:
@@ -129,7 +136,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), row_name(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
 def _fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -152,17 +159,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         words = (plain_words if verbatim else tagged_words)(F.col("text"))
         return _chains(named.select("doc_id", "row", words.alias("words")), "words", verbatim)  # a filter would cut the words twice
 
-    def matched(verbatim: bool, size: int) -> DataFrame:
-        step = _step(size)
-        w = F.col(f"w{step}")
-        n = F.greatest(F.size(w) - (size - step), F.lit(0))
-        name = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(size - step + 1), n), lambda a, b: _window(a, b, F.lit(size), verbatim))
-        rows = chained(verbatim).select("doc_id", "row", F.posexplode(name).alias("doc_at", "key"))
-        own = keys.where((F.col("verbatim") == verbatim) & (F.col("size") == size))
-        return rows.join(own, F.col("key") == F.col("item_key")).select("doc_id", "row", "doc_at", "item", "item_at", "verbatim", "first", "size", "total")
-
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, row long, doc_at int, item long, item_at int, verbatim boolean, first boolean, size int, total int")
-    found = reduce(DataFrame.unionByName, [matched(*s) for s in sizes]) if sizes else empty
+    def matched(verbatim: bool, sizes: list[int]) -> DataFrame:
+        """Windows of all sizes from one pass: behind each other in one list, so a window's place in it tells its place in the text."""
+        words, parts = F.size("words"), []
+
+        def joined(size: int):
+            return lambda a, b: _window(a, b, F.lit(size), verbatim)
+
+        for size in sizes:
+            step = _step(size)
+            w, n = F.col(f"w{step}"), F.greatest(words - size + 1, F.lit(0))
+            parts.append(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(size - step + 1), n), joined(size)))
+        rows = chained(verbatim).select("doc_id", "row", words.alias("n_words"), F.posexplode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("place", "key"))
+        found = rows.join(keys.where(F.col("verbatim") == verbatim), F.col("key") == F.col("item_key"))
+        before = F.lit(0)
+        for i, size in enumerate(sizes):
+            ahead = reduce(lambda a, b: a + b, [F.greatest(F.col("n_words") - s + 1, F.lit(0)) for s in sizes[:i]], F.lit(0))
+            before = F.when(F.col("size") == size, ahead).otherwise(before)
+        return found.select("doc_id", "row", (F.col("place") - before).alias("doc_at"), "item", "item_at", "verbatim", "first", "size", "total")
+
+    empty = docs.sparkSession.createDataFrame([], "doc_id long, row binary, doc_at int, item long, item_at int, verbatim boolean, first boolean, size int, total int")
+    kinds = [(v, sorted((s for k, s in sizes if k == v), reverse=True)) for v in sorted({v for v, _ in sizes})]
+    found = reduce(DataFrame.unionByName, [matched(*k) for k in kinds]) if kinds else empty
     hits = stored(found.distinct().withColumn("diagonal", F.col("doc_at") - F.col("item_at")), folder, "hits")
     # slots of passages that have any: the words of hit documents, from a second look at those alone
     slotted = items.where(~F.col("verbatim") & F.exists("item_words", lambda w: w < "\u0004")).select("item", "item_at", "first", "item_words")
@@ -190,8 +208,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their own columns and no others."""
-    names = docs.columns
-    found = leaks(docs, benchmark).select("row").distinct()
-    found = stored(found, work_dir(docs.sparkSession), "found")
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return keyed.join(_fits(found.withColumnRenamed("row", "__row")), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    names, (row,) = docs.columns, private(docs, "row")
+    found = stored(leaks(docs, benchmark).select(F.col("row").alias(row)).distinct(), work_dir(docs.sparkSession), "found")
+    return docs.withColumn(row, row_name("doc_id", "text")).join(_fits(found), row, "left_anti").select(*[F.col(f"`{c}`") for c in names])
