@@ -4,12 +4,13 @@ Each input partition sorts its (digest, id) rows into a run and folds equal dige
 then meet in binomial rounds: with ``FAN`` partners to a round, a partition hands each partner
 the part of its run whose shard number has that partner's digit, so after log(P) rounds every
 partition holds one shard of the digests. At each level the runs are merged in order and a
-digest keeps its smallest identifier and its count only. A partition thus never gets more than
+digest keeps its smallest identifier and its count only. The merge is Spark's sort of what arrives: a partition's runs come one after
+the other, each in order, and TimSort finds such runs and merges them instead of sorting anew, spilling beyond its memory. A partition thus never gets more than
 ``FAN`` rows of one digest, however many copies there are.
 
 Defined results: a null text counts as empty; a null id sorts after all others; of rows that
 repeat both id and text exactly one stays (the first in file order); an empty table gives an
-empty result; other columns are ignored, whatever their names.
+empty result; texts of any length are hashed whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored, work_dir
+from .common import private, shuffle_width, stored, work_dir
 
 #: Partners that exchange runs in one round.
 FAN = 4
@@ -89,6 +90,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     groups = tree_merge(rows, shuffle_width(spark)).select(
         F.col("sha").alias("g_sha"), F.col("n_bytes").alias("g_bytes"), F.col("id_null").alias("g_null"), F.col("id").alias("g_id"), F.col("tag").alias("g_tag"), F.col("n").alias("group_size")
     )
+    groups = stored(groups, work_dir(spark), "groups")  # so that the join can split a digest with very many rows
     return rows.join(groups, (F.col("sha") == F.col("g_sha")) & (F.col("n_bytes") == F.col("g_bytes"))).select(
         F.when(~F.col("id_null"), F.col("id")).alias("doc_id"),
         F.when(~F.col("g_null"), F.col("g_id")).alias("keep_id"),
@@ -100,16 +102,11 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns and no others."""
-    names = docs.columns
-    spark = docs.sparkSession
+    names, spark = docs.columns, docs.sparkSession
+    sha, null, own = private(docs, "sha", "null", "own")
     rows = stored(digests(docs, id_col, text_col), work_dir(spark), "digests")
-    groups = tree_merge(rows, shuffle_width(spark)).select(F.col("sha").alias("__g_sha"), F.col("id_null").alias("__g_null"), F.col("id").alias("__g_id"))
-    keyed = docs.withColumns({
-        "__sha": F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)),
-        "__null": F.col(id_col).isNull(),
-        "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
-    })
-    same = (F.col("__sha") == F.col("__g_sha")) & (F.col("__null") == F.col("__g_null")) & (F.col("__id") == F.col("__g_id"))
-    kept = keyed.join(groups, same, "left_semi")
+    groups = stored(tree_merge(rows, shuffle_width(spark)).select(F.col("sha").alias(sha), F.col("id_null").alias(null), F.col("id").alias(own)), work_dir(spark), "groups")
+    keyed = docs.withColumns({sha: F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)), null: F.col(id_col).isNull(), own: F.coalesce(F.col(id_col).cast("long"), F.lit(0))})
+    kept = keyed.join(groups, [sha, null, own], "left_semi")
     # rows that repeat id and text: one stays
-    return kept.dropDuplicates(["__sha", "__null", "__id"]).select(*[F.col(f"`{c}`") for c in names])
+    return kept.dropDuplicates([sha, null, own]).select(*[F.col(f"`{c}`") for c in names])
