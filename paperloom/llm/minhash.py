@@ -28,6 +28,7 @@ taken whole; an empty table gives an empty result; further columns, whatever the
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -152,20 +153,20 @@ def star_edges(members: DataFrame, folder: str) -> DataFrame:
     return members.join(stored(centre, folder, "centres"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _with_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_sets(edges: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Adds the full sets sa and sb. A centre's set is there once for some EDGES edges, so no task gets all of a large star."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    copies = edges.groupBy("a").agg(F.ceil(F.count("*") / EDGES).cast("int").alias("copies"))
+    copies = stored(edges.groupBy("a").agg(F.ceil(F.count("*") / EDGES).cast("int").alias("copies")), folder, f"copies-{uuid.uuid4().hex}")
     left = left.join(copies, "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     spread = edges.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     return spread.drop("copies").join(right, "b").join(left.drop("copies"), ["a", "copy"]).drop("copy")
 
 
-def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(edges: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Candidate edges (a, b) with the sizes of their full sets (na, nb) and of what both have (both)."""
     both = F.size(F.array_intersect("sa", "sb"))
-    return _with_sets(edges, sets).select(*edges.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
+    return _with_sets(edges, sets, folder).select(*edges.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
 
 
 def _like(percent: int):
@@ -186,7 +187,7 @@ def differences(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     label = labels.select(F.col("node").alias("b"), "label")
     near = near.join(mixed, "g").join(label, "b", "left").select("g", "a", "b", F.col("nb").alias("n"), "unlike", F.coalesce("label", "b").alias("label"))
     apart = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))
-    full = _with_sets(near, sets).select("g", "b", "n", "unlike", "label", apart.alias("apart"))
+    full = _with_sets(near, sets, folder).select("g", "b", "n", "unlike", "label", apart.alias("apart"))
     rows = stored(full.select("g", "b", "n", F.size("apart").alias("d"), "unlike", "label", F.explode("apart").alias("element")), folder, f"apart{level}")
     freq = stored(rows.groupBy("g", "element").agg(F.count("*").alias("f")).where("f > 1"), folder, f"freq{level}")
     member = Window.partitionBy("g", "b")
@@ -216,13 +217,13 @@ def unlike_centre(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     x, y = side["x"].where("x_unlike").alias("x"), side["y"].where("y_unlike OR y_half").alias("y")
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.element") == F.col("y.element")) & ok)
     pairs = stored(pairs.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct(), folder, f"pairs{level}")
-    found = [stored(compared(pairs, sets).where(_like(percent)).select("a", "b"), folder, f"more{level}")]
+    found = [stored(compared(pairs, sets, folder).where(_like(percent)).select("a", "b"), folder, f"more{level}")]
     large = groups.where(F.col("m") > bound)
     if large.isEmpty():
         return found
     members = rows.join(large, ["g", "element"]).select(F.xxhash64("g", "element").alias("g"), "b", "d")
     centres = stored(members.groupBy("g").agg(F.min(F.struct("d", "b"))["b"].alias("a")), folder, f"centres{level}")
-    inner = stored(compared(members.join(centres, "g").where("a <> b").select("g", "a", "b"), sets), folder, f"stars{level}")
+    inner = stored(compared(members.join(centres, "g").where("a <> b").select("g", "a", "b"), sets, folder), folder, f"stars{level}")
     return [*found, inner.where(_like(percent)).select("a", "b"), *unlike_centre(inner, sets, labels, percent, folder, level + 1)]
 
 
@@ -242,7 +243,7 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     edges = stored(star_edges(members, folder), folder, "edges")
     wanted = members.select("node").distinct().join(classes.select("node", "t"), "node")
     sets = stored(sets_of(docs, wanted, size, text_col, id_col), folder, "sets")
-    stars = stored(compared(edges, sets), folder, "stars")
+    stars = stored(compared(edges, sets, folder), folder, "stars")
     links = stars.where(_like(percent)).select("a", "b")
     labels = components(links, folder, "first")
     more = reduce(DataFrame.unionByName, unlike_centre(stars.withColumn("g", F.xxhash64("a")), sets, labels, percent, folder))
