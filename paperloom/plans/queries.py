@@ -11,6 +11,7 @@ from ..functions.geometry import points_to_normalised, rect, share_inside
 from ..functions.text import is_float, natural_order
 from ..operators import answers, classify, grouping, layout, review, rules, scoring, templates, vision
 from ..sources import ingest, sinks
+from ..sources.shared import cut
 from .registry import register
 
 
@@ -258,7 +259,7 @@ def trust_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM q WHERE queue_rank <= 5""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rules, confidence and the five most urgent questions of each document."""
-    issues = _issues(spark, sf_dir)
+    issues = cut(_issues(spark, sf_dir))  # used three times
     q = _questions(spark, sf_dir, issues).where("o_orderstatus <> 'F'")
     q = q.select("document_id", "question_id", F.col("question_id").cast("string").alias("number"), F.lit("single_correct").alias("question_type"), F.col("o_orderstatus").alias("status"), "confidence")
     return review.review_queue(q, issues, top=5).withColumn("queue_rank", F.col("queue_rank").cast("long"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 PDF_MAGIC = b"%PDF-"
 
 
@@ -21,9 +23,10 @@ def hashed(files: DataFrame) -> DataFrame:
 def gate(rows: DataFrame, known: DataFrame | None, order: str, digest: str = "sha256", allow_duplicate: bool = False) -> DataFrame:
     """Adds is_duplicate: the digest is known already, or an earlier row of this batch has it.
 
-    The first of a digest is found by a minimum per digest, aggregated before the shuffle.
+    The first of a digest is found by a minimum per digest, aggregated before the shuffle, and stored, so that
+    the join can split a digest with very many rows.
     """
-    firsts = rows.groupBy(digest).agg(F.min(order).alias("first_of_digest"))
+    firsts = cut(rows.groupBy(digest).agg(F.min(order).alias("first_of_digest")))
     out = rows.join(firsts, digest)
     again = F.col(order) != F.col("first_of_digest")
     if known is not None:
@@ -45,8 +48,3 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     rows = scan_files(spark, root, recursive=True)
     base = F.lit(root.rstrip("/").removeprefix("file://") + "/")
     return rows.select(F.element_at(F.split("path", base, 2), -1).alias("path"), F.sha2("content", 256).alias("sha256")).orderBy("path")
-
-
-def latest_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return rows.withColumn("__r", rank).where("__r = 1").drop("__r")
