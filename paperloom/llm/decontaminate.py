@@ -67,7 +67,7 @@ def tagged_words(text: Column) -> Column:
     """
     s = F.regexp_replace(F.concat(F.lit(" "), _cut(text), F.lit(" ")), "[\\t-\\r\u0001-\u0003]", " ")
     s = F.regexp_replace(s, " {2,}", " ")
-    s = F.regexp_replace(s, r" (?<=[a-z,;\p{Ll}] )([A-Z\p{Lu}][a-z\p{L}]+)", f" {_NAME}$1")
+    s = F.regexp_replace(s, r" (?<=[a-z\d,;\p{Ll}] )([A-Z\p{Lu}][a-z\p{L}]+)", f" {_NAME}$1")
     s = F.lower(s)
     s = F.regexp_replace(s, rf" (?=[\d{_FIRST}\p{{Ps}}\p{{Sc}}+-])[\p{{Ps}}\p{{Sc}}+-]*(\d+(?:[.,:/-]\d+)*|(?:{WORD_NUMBERS})(?= ))%?(?: ?({UNITS}))?(?=[^\p{{L}}\d]* )", f"  {_NUM}$1 {_UNIT}$2")
     s = F.regexp_replace(s, f"{_UNIT}(?![a-z])", "")
