@@ -32,12 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, caches_of
+from .common import Cache, caches_of, in_parts, small_batches
 
-#: Entries of a worker's caches, of some 150 bytes each: 80 MB at most.
-WORDS, PIECES, PAIRS = 250_000, 60_000, 200_000
-#: Rows sent back at once.
-ROWS = 500
+#: Entries of a worker's caches. A word of one piece shares its ids with the piece: some 150 bytes each, 80 MB at most.
+WORDS, PIECES, PAIRS = 400_000, 300_000, 200_000
 # Fixed values of the vocabulary file's kind: its word pattern, its white space, its end mark.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters and numbers of Unicode versions after the library's own, which it doesn't know as such.
@@ -73,7 +71,11 @@ def split_words(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """All parts of all entries; a state's ``found`` lists the (length, id) of entries that end there, long ones first."""
+    """All parts of all entries; a state's ``found`` lists the (length, id) of entries that end there, long ones first.
+
+    The entries of the states along the suffix links are listed with a state's own. Of these own ones those count
+    that are no longer than what was matched.
+    """
 
     def __init__(self, entries: list[tuple[str, int]]):
         self.size, self.link = [0], [-1]
@@ -88,13 +90,11 @@ class SuffixAutomaton:
             for c in text:
                 at = steps[at][c]
             ends.setdefault(at, []).append((len(text), i))
-        self.found = [tuple(sorted(ends[s], reverse=True)) if s in ends else () for s in range(len(steps))]
-        # the next state on the way along the links that has entries
-        self.up = [0] * len(steps)
+        self.found: list[tuple] = [()] * len(steps)
         for s in sorted(range(1, len(steps)), key=self.size.__getitem__):
-            link = self.link[s]
-            self.up[s] = link if self.found[link] else self.up[link]
-        self.step = {(s << 16 | ord(c)): to for s, own in enumerate(steps) for c, to in own.items()}
+            above = self.found[self.link[s]]
+            self.found[s] = (*sorted(ends[s], reverse=True), *above) if s in ends else above
+        self.steps = steps
 
     def _extend(self, steps: list[dict[str, int]], last: int, c: str) -> int:
         size, link = self.size, self.link
@@ -203,24 +203,21 @@ class PrefixBpe:
         last, pairs = [-1] * (len(form) + 1), self._pairs
         last[0] = -2
         a = self._automaton
-        step, link, found, up = a.step.get, a.link, a.found, a.up
+        steps, found = a.steps, a.found
         state = length = 0
-        for end, c in enumerate(map(ord, form), 1):
-            to = step(state << 16 | c)
+        for end, c in enumerate(form, 1):
+            to = steps[state].get(c)
             while to is None and state:
-                state = link[state]
+                state = a.link[state]
                 length = a.size[state]
-                to = step(state << 16 | c)
+                to = steps[state].get(c)
             state, length = (to, length + 1) if to is not None else (0, 0)
-            at = state
-            while at and last[end] == -1:
-                for size, token in found[at]:
-                    if size <= length:
-                        before = last[end - size]
-                        if before == -2 or (before >= 0 and pairs[before << 32 | token]):
-                            last[end] = token
-                            break
-                at = up[at]
+            for size, token in found[state]:
+                if size <= length:
+                    before = last[end - size]
+                    if before == -2 or (before >= 0 and pairs[before << 32 | token]):
+                        last[end] = token
+                        break
         ids, at = [], len(form)
         while at:
             ids.append(last[at])
@@ -250,9 +247,7 @@ class PrefixBpe:
 
     def _word(self, word: str) -> bytes:
         found = self.word_pieces(word)
-        if len(found) == 1 and len(found[0]) == len(word):
-            return self._piece(found[0])  # kept as a word
-        return b"".join([self.pieces[p] for p in found])
+        return self.pieces[found[0]] if len(found) == 1 else b"".join([self.pieces[p] for p in found])
 
     def _runs(self, text: str) -> list[bytes]:
         get = self.words.__getitem__
@@ -282,13 +277,13 @@ def codec(path: str) -> PrefixBpe:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), decoded, for every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         caches_of("bpe", bpe.forget)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in in_parts(batch, 1):
                 ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], schema=schema)
 

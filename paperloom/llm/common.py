@@ -6,8 +6,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +109,30 @@ class Cache(dict):
         self.old = {}
 
 
+#: Rows of an Arrow batch, bytes of text that are worked on at once, and rows.
+BATCH_ROWS, PART_BYTES, PART_ROWS = 1000, 4 << 20, 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are kept small, unless the session has its own number of rows: each task and its Python
+    worker hold some of them at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # the default
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some PART_BYTES of text each, or one longer text."""
+    sizes, at, held = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (held + n > PART_BYTES or i - at >= PART_ROWS):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 _forget: dict[str, Callable[[], None]] = {}
 _turn: list[str] = []
 
@@ -123,6 +149,7 @@ def caches_of(name: str, forget: Callable[[], None] | None = None) -> None:
             _forget[other]()
         _turn[:] = [name]
         gc.collect()
+        pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
             trim(0)

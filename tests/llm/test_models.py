@@ -59,15 +59,12 @@ def test_suffix_automaton_lists_all_entries(seed):
     text = "".join(rnd.choice("abcd") for _ in range(400))
     state = length = 0
     for end, c in enumerate(text, 1):
-        while state and (state << 16 | ord(c)) not in a.step:
+        while state and c not in a.steps[state]:
             state = a.link[state]
             length = a.size[state]
-        to = a.step.get(state << 16 | ord(c))
+        to = a.steps[state].get(c)
         state, length = (to, length + 1) if to is not None else (0, 0)
-        got, at = [], state
-        while at:
-            got += [x for x in a.found[at] if x[0] <= length]
-            at = a.up[at]
+        got = [x for x in a.found[state] if x[0] <= length]
         assert got == sorted(((len(w), i) for w, i in entries if text[:end].endswith(w)), reverse=True)
 
 
