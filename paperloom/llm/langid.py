@@ -8,11 +8,13 @@ several languages, so that transitions learn when texts switch. Forward-backward
 of a text its probability for each language; a document gets the language with the largest mean
 over its letters.
 
-The fit uses about ``sample`` texts of each language, drawn by the hash of the id; every text is
-labelled, whole.
+The fit uses ``sample`` different labelled texts of each language at most, ``TEXTS`` in all, those with the smallest
+hashes of id and text, of ``SAMPLE_BYTES`` at most each, and the ``LANGS`` languages with the most rows. These bounds hold
+for the fit alone: every text is labelled, whole, whatever its length.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and for all texts if
-nothing can be learnt. Empty tables give empty results; repeated rows repeated results.
+nothing can be learnt; of languages with equal shares of a text the first by name. Empty tables give empty results;
+repeated rows repeated results; further columns play no part.
 """
 
 from __future__ import annotations
@@ -27,32 +29,22 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Cache, caches_of, held_out, small_batches
 
-#: Bound of the labelled texts of a language that the driver fits on (their expected number), and of the bytes of one of them.
-SAMPLE, SAMPLE_BYTES = 400, 65536
+#: Bounds of what the driver fits on: texts of a language, bytes of one of them, texts in all, languages.
+SAMPLE, SAMPLE_BYTES, TEXTS, LANGS = 400, 65536, 8000, 200
 #: Words of a training sequence, sequences cut from a text, forms in the lexicon, hashed features.
 SPAN, CUTS, LEXICON, BUCKETS = 40, 6, 20_000, 1 << 17
 UNKNOWN = "und"
-#: Forms whose scores a worker keeps, words scanned at once, words of a block of the scan, and feature names kept.
-FORMS, GROUP, BLOCK, GRAMS = 600_000, 200_000, 64, 200_000
+#: Forms whose scores a worker keeps (some 160 bytes each), words scanned at once, words of a block of the scan, and feature names kept.
+FORMS, GROUP, BLOCK, GRAMS = 250_000, 100_000, 64, 100_000
 _SPLICED = 0.35
 
 
-class _Buckets(dict):
-    """Hash buckets of feature names; starts anew at its bound."""
-
-    def __missing__(self, name: str) -> int:
-        if len(self) >= GRAMS:
-            self.clear()
-        b = self[name] = zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS
-        return b
-
-
-_buckets = _Buckets()
+_buckets = Cache(lambda name: zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS, GRAMS)
 
 
 def letters_of(word: str) -> str:
@@ -85,7 +77,7 @@ class CrfModel:
         self._fresh()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_scores", "_letters")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_scores", "_letters", "_uses")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -95,6 +87,25 @@ class CrfModel:
         self._known: dict[str, int] = {}
         self._scores = np.zeros((1024, len(self.langs)), dtype=np.float32)
         self._letters = np.zeros(1024, dtype=np.float32)
+        self._uses = np.zeros(1024, dtype=np.float32)
+
+    def take_turn(self) -> None:
+        """Before a task: other operators' and other models' caches go."""
+        if _live and _live[0] is not self:
+            _live[0]._fresh()
+        _live[:] = [self]
+        caches_of("langid", _forget)
+
+    def _age(self) -> None:
+        """Keeps the half of the forms that were used most, of late above all."""
+        n = len(self._known)
+        stay = np.sort(np.argpartition(-self._uses[:n], FORMS // 2)[: FORMS // 2])
+        names = list(self._known)
+        self._known = {names[i]: k for k, i in enumerate(stay.tolist())}
+        for part in (self._scores, self._letters, self._uses):
+            part[: len(stay)] = part[stay]
+        self._uses[: len(stay)] /= 2
+        self._uses[len(stay) :] = 0
 
     def _learn_forms(self, words: list[str]) -> None:
         """Scores of new forms, all at once."""
@@ -102,6 +113,7 @@ class CrfModel:
         while end > len(self._scores):
             self._scores = np.vstack([self._scores, np.zeros_like(self._scores)])
             self._letters = np.concatenate([self._letters, np.zeros_like(self._letters)])
+            self._uses = np.concatenate([self._uses, np.zeros_like(self._uses)])
         clean = [*map(letters_of, words)]
         found = [features(w, self.lexicon) for w in clean]
         lens = np.fromiter(map(len, found), np.int64, len(found))
@@ -121,8 +133,9 @@ class CrfModel:
     def posteriors(self, words: list[str], opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of each word's languages, and its letters; ``opens``: where texts begin."""
         if len(self._known) > FORMS:
-            self._fresh()
+            self._age()
         form = self._forms(words)
+        self._uses[: len(self._known)] += np.bincount(form, minlength=len(self._known))
         return forward_backward(self._scores[form], opens, self.trans, self.start), self._letters[form]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
@@ -171,6 +184,15 @@ class CrfModel:
         return [(w, self.langs[k] if n else UNKNOWN) for w, k, n in zip(words, post.argmax(axis=1).tolist(), letters.tolist(), strict=True)]
 
 
+_live: list[CrfModel] = []
+
+
+def _forget() -> None:
+    _buckets.forget()
+    for model in _live:
+        model._fresh()
+
+
 def forward_backward(score: np.ndarray, opens: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Marginals of a chain of many texts, all blocks of ``BLOCK`` words at the same time.
 
@@ -327,17 +349,22 @@ def _expected(score: np.ndarray, opens: np.ndarray, trans: np.ndarray, start: np
 
 
 def fit_on(docs: DataFrame, sample: int = SAMPLE) -> CrfModel:
-    """Fits on rows with a language outside the held-out fold, about ``sample`` of each."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), "text")
+    """Fits on rows with a language outside the held-out fold, ``sample`` different ones of each at most."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    most = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("id", "text")).alias("kinds")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    counts = {r["lang"]: max(1, r["kinds"]) for r in most.collect()}
     if not counts:
         return fit([], [])
-    steps = 1 << 20
-    limit = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(steps, -(-steps * sample // n))))])
-    drawn = F.pmod(F.xxhash64("id"), F.lit(steps)) < limit[F.col("lang")]
-    got = rows.where(drawn & (F.octet_length("text") <= SAMPLE_BYTES)).select("id", "text", "lang").collect()
-    got.sort(key=lambda r: (r["id"], r["text"]))
+    sample = max(1, min(sample, TEXTS // len(counts)))
+    # a draw that finds twice as many as are wanted, then the first ones of it; repeated rows are folded before they meet
+    steps = 1 << 40
+    limit = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(steps, -(-steps * 2 * sample // n))))])
+    h = F.xxhash64("id", "text")
+    drawn = rows.where((F.pmod(h, F.lit(steps)) < limit[F.col("lang")]) & (F.octet_length("text") <= SAMPLE_BYTES)).select("lang", h.alias("h"), "id", "text")
+    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(steps)), "h")
+    chosen = drawn.groupBy("lang", "h").agg(F.min(F.struct("id", "text")).alias("r")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
+    got = sorted(chosen.select("r.id", "r.text", "lang").collect(), key=lambda r: (r["id"], r["text"], r["lang"]))  # sample texts a language
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
@@ -345,10 +372,12 @@ def identify(docs: DataFrame, model: CrfModel) -> DataFrame:
     """doc_id, lang_pred, score, n_words, n_switches for every row; text alone enters them."""
     schema = "doc_id long, lang_pred string, score double, n_words long, n_switches long"
     kinds = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("n_switches", pa.int64())])
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        own.take_turn()
         for batch in batches:
             found = list(zip(*own.label(batch.column(1).to_pylist()), strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(found, list(kinds)[1:], strict=True))], schema=kinds)
@@ -361,10 +390,12 @@ def keep_identified(docs: DataFrame, model: CrfModel, least: float = 0.0) -> Dat
 
     If none could be learnt, all texts with letters stay.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
+        sent.value.take_turn()
         if not sent.value.langs:
             return pd.Series([any(map(str.isalpha, t or "")) for t in text.tolist()], dtype=bool)
         return pd.Series([lang != UNKNOWN and score >= least for lang, score, _, _ in sent.value.label(text.tolist())], dtype=bool)

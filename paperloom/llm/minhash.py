@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, caches_of, dropped, private, row_name, stored, work_dir
+from .common import Cache, caches_of, dropped, in_parts, private, row_name, small_batches, stored, work_dir
 from .components import components
 
 #: 32 bands of 4 bins: a pair with a similarity of 0.8 shares no band with probability 5e-8.
@@ -136,8 +136,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches_of("minhash", _hashes.forget)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in in_parts(batch, 1):
                 sets = [shingle_set(t, size).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
@@ -233,6 +232,7 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     The label (a node's name) names the component; its id doesn't, as ids may be null or repeated.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = work_dir(spark)
     rows = stored(signed(docs, size, text_col, id_col), folder, "signed")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.any_value("bands").alias("bands"))

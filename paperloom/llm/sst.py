@@ -42,12 +42,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import caches_of, shuffle_width, stored, work_dir
+from .common import caches_of, in_parts, shuffle_width, small_batches, stored, work_dir
 
 MAGIC = b"PLSST001"
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 1 << 18, 10, 7
-#: Words whose ids a worker keeps, and rows it sends on at once.
-WORDS, ROWS = 1_000_000, 500
+#: Words whose ids a worker keeps.
+WORDS = 1_000_000
 #: Stands between the words that go to the library together, and how many do; separators that str.split() alone knows.
 _MARK, _TOGETHER, _ODD = "\x7f", 100, "\x1c\x1d\x1e\x1f"
 #: Id after each document.
@@ -256,13 +256,13 @@ def encode(docs: DataFrame, path: str, bounds: list[int], end_id: int = END_ID)
     """shard, doc_id, ids (two bytes each where the vocabulary allows) of every row."""
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
     cuts = np.array(bounds, dtype=np.int64)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = library(path), array("I", [end_id]).tobytes()
         caches_of("sst", encoder.forget)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in in_parts(batch, 1):
                 ids = [narrow(x + end) for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
                 keys = part.column(0).to_pylist()
                 num = np.array([-(1 << 63) if k is None else k for k in keys], dtype=np.int64)
