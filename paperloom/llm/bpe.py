@@ -167,10 +167,6 @@ class PrefixBpe:
         self.pieces = Cache(self._piece, PIECES)
         self.words = Cache(self._word, WORDS)
 
-    def forget(self) -> None:
-        for cache in (self.words, self.pieces, self._pairs):
-            cache.forget()
-
     def whole(self, token: int) -> bool:
         """Whether the rules make this token of its own text."""
         if self.rank[token] < 0:
@@ -281,7 +277,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        caches_of("bpe", bpe.forget)
+        caches_of("bpe", codec.cache_clear)
         for batch in batches:
             for part in in_parts(batch, 1):
                 ids = [bpe.encode(t) for t in part.column(1).to_pylist()]

@@ -220,9 +220,6 @@ class LibraryEncoder:
     def _whole(self, text: str) -> bool:
         return any(map(text.__contains__, [_MARK, *_ODD, *self.special]))
 
-    def forget(self) -> None:
-        self.words = {}
-
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -260,7 +257,7 @@ def encode(docs: DataFrame, path: str, bounds: list[int], end_id: int = END_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = library(path), array("I", [end_id]).tobytes()
-        caches_of("sst", encoder.forget)
+        caches_of("sst", library.cache_clear)
         for batch in batches:
             for part in in_parts(batch, 1):
                 ids = [narrow(x + end) for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
