@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.rules import crop_issues, option_issues, sequence_issues, stem_issues
 from ..operators.vision import assemble, attributed, dropped_warnings, sanitise
+from ..plans import jobs
 
 LAYOUT = "document_id string, page_number int, served_by string, warnings array<string>, reading_order array<string>, regions array<struct<region_id:string,region_type:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,question_number_hint:string,option_label_hint:string,contains_visual:boolean,confidence:double>>"
 
@@ -48,3 +49,11 @@ def finalise(questions: DataFrame, issues: DataFrame, status: DataFrame) -> Data
     """Document-wide rules, once all pages are there: the issues with the sequence's."""
     whole = status.where("status = 'succeeded'").select("document_id")
     return issues.unionByName(sequence_issues(questions.join(whole, "document_id", "left_semi")))
+
+
+def finish(spark: SparkSession, out: str, page_counts: DataFrame, run: str, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(issues, stages, jobs) of what the stream has written so far: document-wide rules for the documents whose pages are all there."""
+    questions, issues, seen = (spark.read.parquet(f"{out}/{name}").drop("batch") for name in ("questions", "issues", "pages"))
+    status = progress(seen, page_counts)
+    log = jobs.stage_rows("extract", status.select("document_id", "completed", "total", F.col("status").alias("state")), run, at, F.col("state"))
+    return finalise(questions, issues, status), log, jobs.jobs(status.select("document_id", "status", F.lit(None).cast("string").alias("error")), run, at, at)

@@ -182,6 +182,10 @@ def test_stream(spark, small_plans, tmp_path):
     assert {r["document_id"]: (r["completed"], r["status"]) for r in status.collect()} == {"d": (3, "succeeded"), "e": (0, "running")}
     final = incremental.finalise(questions, issues.drop("batch"), status)
     assert final.where("rule_code = 'SEQ_GAP'").count() == 1
+    counts = spark.createDataFrame([("d", 3), ("e", 2)], "document_id string, page_count int")
+    again, stages, jobs = incremental.finish(spark, out, counts, "run", "2024-01-01")
+    assert again.count() == final.count() and {r["document_id"]: r["status"] for r in jobs.collect()} == {"d": "succeeded", "e": "running"}
+    assert {json.loads(r["metrics"])["completed"] for r in stages.collect()} == {3, 0}
 
 
 def counting(log):
