@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -39,6 +40,13 @@ def test_exact_dedup_edges(spark):
     assert out.columns == docs_of(spark, EDGE).columns and sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, None), (3, " \t"), (4, "one two"), (6, LONG), (8, "x"), (9, "é" * 300)]
 
 
+def shingles(text, size):
+    """A text's shingles as they are, without hashes."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    n = min(size, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+
+
 @pytest.mark.parametrize("group", [256, 3])
 def test_near_dedup_families(spark, monkeypatch, group):
     monkeypatch.setattr(minhash, "GROUP", group)  # 3: stars within stars
@@ -55,7 +63,7 @@ def test_near_dedup_families(spark, monkeypatch, group):
             if rnd.random() < 0.2:
                 t[rnd.randrange(len(t))] = "zz"
                 rows.append((len(rows), " ".join(t)))
-    sets = [minhash.shingle_set(t, 4) for _, t in rows]
+    sets = [shingles(t, 4) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(a):
@@ -65,7 +73,7 @@ def test_near_dedup_families(spark, monkeypatch, group):
 
     for i in range(len(rows)):
         for j in range(i):
-            n = len(np.intersect1d(sets[i], sets[j]))
+            n = len(sets[i] & sets[j])
             if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
@@ -329,7 +337,7 @@ def test_pipeline_against_brute_force(spark, sql, library):
     for i in sorted(docs):
         first.setdefault(" ".join(docs[i].replace("\x0b", " ").replace("\x0c", " ").split()), i)
     kept = sorted(first.values())
-    sets = {i: minhash.shingle_set(docs[i], 5) for i in kept}
+    sets = {i: shingles(docs[i], 5) for i in kept}
     root = {i: i for i in kept}
 
     def find(a):
@@ -340,7 +348,7 @@ def test_pipeline_against_brute_force(spark, sql, library):
     for x, i in enumerate(kept):
         for j in kept[:x]:
             if 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j])):
-                n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                n = len(sets[i] & sets[j])
                 if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
                     a, b = find(i), find(j)
                     root[max(a, b)] = min(a, b)
@@ -349,4 +357,4 @@ def test_pipeline_against_brute_force(spark, sql, library):
     clean = {i for i in kept if not any(t in docs[i] for t in items)}
     got = {r["doc_id"]: r["n_tokens"] for r in c.run(spark, SF).collect()}
     assert set(got) <= clean and len(clean - set(got)) <= 2
-    assert all(got[i] == len(library.encode(docs[i], add_special_tokens=False).ids) for i in list(got)[:40])
+    assert all(got[i] == len(library.encode(docs[i], add_special_tokens=False).ids) for i in got)
