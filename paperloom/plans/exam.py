@@ -73,6 +73,18 @@ def paper_tables(spark: SparkSession, sf_dir: str) -> layout.Layout:
     return layout.Layout(pages.drop("is_key"), spans, signs.unionByName(decoys), both, reduce(DataFrame.unionByName, images))
 
 
+_PARSED: dict[tuple[str, str], tuple[layout.Layout, DataFrame, DataFrame]] = {}
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> tuple[layout.Layout, DataFrame, DataFrame]:
+    """(tables, questions, notes): several queries ask for the parse, which is stored, so a session makes it once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PARSED:
+        tables = paper_tables(spark, sf_dir)
+        _PARSED[key] = (tables, *layout.parse(tables))
+    return _PARSED[key]
+
+
 _OPTIONS_SQL = "CASE n_options WHEN 0 THEN '' WHEN 3 THEN '1:v' || l_linenumber || '|2:v' || 2 * l_linenumber || '|3:v' || 3 * l_linenumber || '|4:' ELSE '1:v' || l_linenumber || '|2:v' || 2 * l_linenumber || '|3:v' || 3 * l_linenumber || '|4:v' || 4 * l_linenumber END"
 _STEM_SQL = "'part ' || l_partkey || CASE WHEN goes_on THEN ' more' ELSE '' END"
 _TYPE_SQL = "CASE n_options WHEN 0 THEN 'numerical' ELSE 'mcq' END"
@@ -87,7 +99,7 @@ def _shown(options: str = "options"):
         CASE WHEN stem_images = 1 THEN 'images/q' || l_linenumber || '_stem_diagram_1.png' ELSE '' END AS stem_images, option_images::BIGINT AS option_images, answer, page + goes_on::INT AS stem_end_page FROM q""")
 def layout_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks, blocks, option rows and rectangles, wrapped options, stems that go on, images, answers: the whole parse."""
-    found, _ = layout.parse(paper_tables(spark, sf_dir))
+    found = parsed(spark, sf_dir)[1]
     images = F.aggregate("options", F.lit(0), lambda n, o: n + F.size(o["images"])).cast("long")
     return found.select("document_id", "stem_page", F.col("marker_no").cast("long").alias("marker_no"), "question_number", "question_type", "stem_text", _shown().alias("options"), F.array_join("stem_images", ",").alias("stem_images"), images.alias("option_images"), "answer", "stem_end_page")
 
@@ -102,7 +114,7 @@ def layout_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         || ' to stem/options (page ' || page || ') — check for overlap or gaps.', 'warning' FROM t WHERE NOT wrapped AND loose_images = 1)
     SELECT document_id, page AS page_number, l_linenumber::BIGINT AS question_number, note, severity FROM x""")
 def layout_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.parse(paper_tables(spark, sf_dir))[1].select("document_id", "page_number", "question_number", "note", "severity")
+    return parsed(spark, sf_dir)[2].select("document_id", "page_number", "question_number", "note", "severity")
 
 
 @register("document_metrics", f"""
@@ -110,9 +122,9 @@ def layout_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         coalesce(string_agg(CASE WHEN n_options = 0 THEN l_linenumber::VARCHAR END, ',' ORDER BY l_linenumber), '') AS numerical, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous_numbering,
         sum(stem_images + option_images)::BIGINT AS assigned_image_count, sum(stem_images + option_images + loose_images)::BIGINT AS embedded_image_count FROM q GROUP BY 1""")
 def metrics_of_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = paper_tables(spark, sf_dir)
+    tables, found, _ = parsed(spark, sf_dir)
     embedded = tables.images.join(classify.question_pages(tables.pages).select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
-    m = document_metrics(layout.parse(tables)[0], embedded)
+    m = document_metrics(found, embedded)
     return m.select("document_id", "question_count", F.round("answer_coverage", 6).alias("answer_coverage"), F.array_join("numerical_question_numbers", ",").alias("numerical"), "contiguous_numbering", F.col("assigned_image_count").cast("long").alias("assigned_image_count"), "embedded_image_count")
 
 
@@ -122,8 +134,8 @@ def metrics_of_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(30 / 595.0::DOUBLE, 9) AS x0, round((mark_y - 2) / 842.0::DOUBLE, 9) AS y0, round(565 / 595.0::DOUBLE, 9) AS x1,
         round(CASE WHEN n_options > 0 AND NOT wrapped THEN mark_y + 58 WHEN slot = 2 OR r = n THEN 798 ELSE mark_y + 218 END / 842.0::DOUBLE, 9) AS y1 FROM q""")
 def canonical_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = paper_tables(spark, sf_dir)
-    q = layout.to_canonical(layout.parse(tables)[0], tables.pages)
+    tables, found, _ = parsed(spark, sf_dir)
+    q = layout.to_canonical(found, tables.pages)
     box = F.get("stem_blocks", F.lit(0))["evidence"]["bbox"]
     bare = F.size(F.filter("options", lambda o: o["review_required"] & (o["blocks"][0]["status"] == "unreadable")))
     return q.select("document_id", "number", "question_type", "page_start", "page_end", "answer", F.size("stem_blocks").cast("long").alias("stem_blocks"), F.size("options").cast("long").alias("options"), bare.cast("long").alias("unreadable"), *[F.round(box[c], 9).alias(c) for c in ("x0", "y0", "x1", "y1")])
@@ -132,8 +144,8 @@ def canonical_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("canonical_round_trip", f"""
     WITH {_LINES_SQL} SELECT document_id, l_linenumber::INT AS question_number, {_TYPE_SQL} AS question_type, {_STEM_SQL} AS stem_text, {_OPTIONS_SQL} AS options, 'images/q' || l_linenumber || '_stem.png' AS stem_snippet, stem_images::BIGINT AS stem_images, answer FROM q""")
 def canonical_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = paper_tables(spark, sf_dir)
-    out = layout.to_exported(layout.to_canonical(layout.parse(tables)[0], tables.pages))
+    tables, found, _ = parsed(spark, sf_dir)
+    out = layout.to_exported(layout.to_canonical(found, tables.pages))
     return out.select("document_id", "question_number", "question_type", "stem_text", _shown().alias("options"), "stem_snippet", F.size("stem_images").cast("long").alias("stem_images"), "answer")
 
 
