@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 #: Fold of the contracts: rows whose crc32(doc_id as text) mod FOLDS is 0 are held out.
 FOLDS = 5
+#: For each permission that it sets, Hadoop's local file system starts a process ``chmod`` out of the JVM, which until it runs has all of the
+#: JVM's memory as its own: three a file where a checksum file goes with each, two without. Pages of Parquet hold checksums too,
+#: which are then read instead. Other stores than ``file`` don't look at the first two settings.
+WRITES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "parquet.page.write-checksum.enabled": "true"}
+READS = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -55,10 +60,10 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     shuffles that the rows went through are then unused, and Spark drops them with the garbage.
     """
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").options(**WRITES).parquet(path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).options(**READS).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

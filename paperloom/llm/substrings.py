@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, work_dir
+from .common import dropped, small_batches, stored, work_dir
 
 LENGTH, GRAM, BLOCK = 200, 64, 16
 #: Windows of a text that are worked on at once.
@@ -255,6 +255,7 @@ def merged(found: list[tuple[int, int]]) -> list[list[int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges), kept (the bytes that remain) of every row."""
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, work_dir(docs.sparkSession))
     lists = spans.groupBy(F.col("d").alias("sd"), F.col("t").alias("st")).agg(F.collect_list(F.struct("first", "windows")).alias("found"))
