@@ -8,9 +8,11 @@ gives the ids. The entries come from the suffix automaton of the vocabulary: its
 prefix's longest end that occurs in an entry, and the suffix links lead to the shorter ends. Compatibility of a pair
 is decided by undoing merges at the seam: a merge across the seam with an earlier rank than the
 merge being undone would have come first. Decoding starts from the ids that were emitted.
+The prefixes of a word are looked at from its end, each once, as far as an entry leads to them. New words are taken in sorted order:
+what was found for a prefix holds for every word that starts with it.
 
-Texts are cut into white-space-delimited words, which neither normalisation nor the vocabulary's
-word pattern crosses; words and their pieces are kept in bounded caches.
+Texts are normalised whole and cut into the pieces of the vocabulary's word pattern, which don't cross white space;
+the ids of pieces are kept in a bounded cache.
 
 Defined results: a null text counts as empty and has no ids; special tokens' strings in a text
 become their ids; a text of any length is encoded whole. Rows keep their ids, repeated or null; an empty table gives
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import Cache, caches_of, in_parts, small_batches
 
-#: Entries of a worker's caches. A word of one piece shares its ids with the piece: some 150 bytes each, 80 MB at most.
-WORDS, PIECES, PAIRS = 400_000, 300_000, 200_000
+#: Entries of a worker's caches: some 170 bytes for a piece, 100 MB at most.
+PIECES, PAIRS = 600_000, 200_000
 # Fixed values of the vocabulary file's kind: its word pattern, its white space, its end mark.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters and numbers of Unicode versions after the library's own, which it doesn't know as such.
@@ -49,11 +51,16 @@ _NEWER = (
     r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479"
     r"\U0003d000-\U0003fc3f"
 )
-PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[^\P{{L}}{_NEWER}]+|[^\P{{N}}{_NEWER}]|(?:[^{_WHITE}\p{{L}}\p{{N}}]|[{_NEWER}])+"
+LETTER, NUMBER = rf"[^\P{{L}}{_NEWER}]", rf"[^\P{{N}}{_NEWER}]"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+PIECE = rf"{_SHORT}|{LETTER}+|{NUMBER}|(?:[^{_WHITE}\p{{L}}\p{{N}}]|[{_NEWER}])+"
 SPACE = rf"[{_WHITE}]+"
 WORD_END = "</w>"
 _MARK = "\n"
+#: A prefix not looked at yet, one that no entry ends, the empty one.
+_OPEN, _NONE, _START = -3, -1, -2
 _ODD = re.compile("[\x1c-\x1f]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def byte_letters() -> list[str]:
@@ -63,6 +70,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def _normal(text: str) -> str:
+    """Composed and in lower case, letter by letter."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 def split_words(text: str) -> list[str]:
     """White-space-delimited words, by the white space of the word pattern."""
     if _ODD.search(text):  # str.split() would cut at these too
@@ -70,6 +82,14 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+@lru_cache(1)
+def plain_pattern() -> re.Pattern:
+    """The word pattern for texts of characters up to U+FFFF, as plain ranges for the faster engine."""
+    points = "".join(map(chr, range(0x10000)))
+    letter, number = ("".join([f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(f"{kind}+", points)]) for kind in (LETTER, NUMBER))
+    return re.compile(rf"[{letter}]+|{_SHORT}|[{number}]|[^{_WHITE}{letter}{number}]+")
+
+
 class SuffixAutomaton:
     """All parts of all entries; a state's ``found`` lists the (length, id) of entries that end there, long ones first.
 
@@ -161,11 +181,11 @@ class PrefixBpe:
         self._automaton = SuffixAutomaton(usable)
         # letters of each token as they stand in a word's form, with the end mark
         self.sizes = [len(t) - len(WORD_END) + 1 if t.endswith(WORD_END) and len(t) > len(WORD_END) else len(t) for t in self.tokens]
-        self._pattern = regex.compile(PIECE)
+        self._plain, self._pattern = plain_pattern().findall, regex.compile(PIECE).findall
         self._cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._library = None
-        self.pieces = Cache(self._piece, PIECES)
-        self.words = Cache(self._word, WORDS)
+        self.pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def whole(self, token: int) -> bool:
         """Whether the rules make this token of its own text."""
@@ -192,47 +212,56 @@ class PrefixBpe:
             else:
                 limit, y = rank[y] + 1, self.left[y]
 
-    def piece_ids(self, piece: str) -> list[int]:
-        """Ids of one piece of a word: the last token of each prefix, then back from the end."""
-        letters = self.letters
-        form = "".join([letters[b] for b in piece.encode("utf-8", "replace")]) + _MARK
-        last, pairs = [-1] * (len(form) + 1), self._pairs
-        last[0] = -2
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new pieces, little-endian unsigned 32-bit integers: the last token of each prefix, then back from the end."""
+        letters, pairs, sizes = self.letters, self._pairs, self.sizes
         a = self._automaton
-        steps, found = a.steps, a.found
-        state = length = 0
-        for end, c in enumerate(form, 1):
-            to = steps[state].get(c)
-            while to is None and state:
-                state = a.link[state]
-                length = a.size[state]
+        steps, found, link, size_of = a.steps, a.found, a.link, a.size
+        forms = [(p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode("utf-8", "replace")]), p) for p in new]
+        earlier, states, lengths, last = "", [0], [0], [_START]
+        for form, piece in sorted(forms):
+            same = 0
+            for c, d in zip(form, earlier, strict=False):
+                if c != d:
+                    break
+                same += 1
+            earlier = form
+            del states[same + 1 :], lengths[same + 1 :], last[same + 1 :]
+            state, length = states[same], lengths[same]
+            for c in form[same:] + _MARK:
                 to = steps[state].get(c)
-            state, length = (to, length + 1) if to is not None else (0, 0)
-            for size, token in found[state]:
-                if size <= length:
-                    before = last[end - size]
-                    if before == -2 or (before >= 0 and pairs[before << 32 | token]):
-                        last[end] = token
-                        break
-        ids, at = [], len(form)
-        while at:
-            ids.append(last[at])
-            at -= self.sizes[last[at]]
-        ids.reverse()
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        """A piece's ids as little-endian unsigned 32-bit integers."""
-        return array("I", self.piece_ids(piece)).tobytes()
-
-    def word_pieces(self, word: str) -> list[str]:
-        if word.isascii():
-            word = word.lower()
-        elif any(unicodedata.category(c) == "Cn" for c in word):
-            word = self._library_normal(word)
-        else:
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()  # letter by letter
-        return self._pattern.findall(word)
+                while to is None and state:
+                    state = link[state]
+                    length = size_of[state]
+                    to = steps[state].get(c)
+                state, length = (to, length + 1) if to is not None else (0, 0)
+                states.append(state)
+                lengths.append(length)
+            end = len(form) + 1
+            last += [_OPEN] * (end - same)
+            todo = [end]
+            while todo:
+                at = todo[-1]
+                length = lengths[at]
+                for size, token in found[states[at]]:
+                    if size <= length:
+                        before = last[at - size]
+                        if before == _OPEN:
+                            todo.append(at - size)
+                            break
+                        if before == _START or (before >= 0 and pairs[before << 32 | token]):
+                            last[at] = token
+                            todo.pop()
+                            break
+                else:
+                    last[at] = _NONE
+                    todo.pop()
+            ids = []
+            while end:
+                ids.append(last[end])
+                end -= sizes[last[end]]
+            ids.reverse()
+            self.pieces[piece] = array("I", ids).tobytes()
 
     def _library_normal(self, word: str) -> str:
         if self._library is None:
@@ -241,23 +270,48 @@ class PrefixBpe:
             self._library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         return self._library.normalize_str(word)
 
-    def _word(self, word: str) -> bytes:
-        found = self.word_pieces(word)
-        return self.pieces[found[0]] if len(found) == 1 else b"".join([self.pieces[p] for p in found])
+    def _pieces_of(self, text: str) -> list[str]:
+        """Pieces of a text without special tokens."""
+        if text.isascii():
+            return self._plain(text.lower())
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
+            text = " ".join([self._library_normal(w) if any(unicodedata.category(c) == "Cn" for c in w) else _normal(w) for w in split_words(text)])
+        else:
+            text = _normal(text)
+        if not _BEYOND.search(text):
+            return self._plain(text)
+        return [p for w in split_words(text) for p in (self._pattern(w) if _BEYOND.search(w) else self._plain(w))]
 
-    def _runs(self, text: str) -> list[bytes]:
-        get = self.words.__getitem__
+    def _keys(self, text: str) -> list[str]:
+        """Pieces of a text; a special token is one with a mark before it."""
         if "<" not in text or self._cut is None or not self._cut.search(text):
-            return [*map(get, split_words(text))]
-        runs, at = [], 0
+            return self._pieces_of(text)
+        keys, at = [], 0
         for m in self._cut.finditer(text):
-            runs += [*map(get, split_words(text[at : m.start()])), array("I", [self.special[m[0]]]).tobytes()]
+            keys += [*self._pieces_of(text[at : m.start()]), _MARK + m[0]]
             at = m.end()
-        return runs + [*map(get, split_words(text[at:]))]
+        return keys + self._pieces_of(text[at:])
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of whole texts, four bytes each."""
+        if len(self.pieces) >= PIECES // 2:  # those of the older half that are in use come back
+            self.pieces, self._older = {}, self.pieces
+        keys = [self._keys(t or "") for t in texts]
+        new: set[str] = set()
+        for k in keys:
+            new |= set(k).difference(self.pieces)
+        for k in new.intersection(self._older):
+            self.pieces[k] = self._older.pop(k)
+        new.difference_update(self.pieces)
+        for k in [k for k in new if k[0] == _MARK]:
+            self.pieces[k] = array("I", [self.special[k[1:]]]).tobytes()
+            new.remove(k)
+        self._learn(new)
+        get = self.pieces.__getitem__
+        return [b"".join([*map(get, k)]) for k in keys]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, four bytes each."""
-        return b"".join(self._runs(text or ""))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces: this vocabulary file names no decoder."""
@@ -280,7 +334,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         caches_of("bpe", codec.cache_clear)
         for batch in batches:
             for part in in_parts(batch, 1):
-                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+                ids = bpe.encode_all(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")

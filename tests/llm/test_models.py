@@ -41,6 +41,32 @@ def test_bpe_null_and_long():
     assert len(b.encode("word " * 50_000)) == 4 * 50_000
 
 
+def test_bpe_looks_at_a_shared_prefix_once(library):
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, pair):
+            Counted.asked += 1
+            return b._seam(pair)
+
+    b = bpe.PrefixBpe(vocabulary())
+    b._pairs = Counted()
+    words = ["thinkingandlongerwords" * 2 + x + y for x in "abcdefghijklmnop" for y in "aeioustnr"]
+    want = library.encode(" ".join(words), add_special_tokens=False).ids
+    assert b.encode(" ".join(words)) == struct.pack(f"<{len(want)}I", *want)
+    assert Counted.asked < 10 * len(words)
+
+
+def test_bpe_cache_of_pieces_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 40)
+    b, rnd = bpe.PrefixBpe(vocabulary()), random.Random(4)
+    for _ in range(60):
+        some = [" ".join("".join(rnd.choice(["th", "in", "é", "\ufad1", "😀", "an,"]) for _ in range(rnd.randint(1, 3))) for _ in range(8)) + "<|endoftext|>" for _ in range(2)]
+        for ids, want in zip(b.encode_all(some), library.encode_batch(some, add_special_tokens=False), strict=True):
+            assert ids == struct.pack(f"<{len(want.ids)}I", *want.ids)
+        assert len(b.pieces) + len(b._older) < 40 + 2 * 60
+
+
 def test_bpe_letters_of_later_unicode(library):
     """Each code point between letters and alone: what the library makes of it. Large blocks of one kind are looked at here and there."""
     b = bpe.codec(vocabulary())
