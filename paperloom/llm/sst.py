@@ -33,10 +33,13 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import pairwise
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +51,8 @@ MAGIC = b"PLSST001"
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 1 << 18, 10, 7
 #: Words whose ids a worker keeps.
 WORDS = 1_000_000
-#: Stands between the words that go to the library together, and how many do; separators that str.split() alone knows.
-_MARK, _TOGETHER, _ODD = "\x7f", 100, "\x1c\x1d\x1e\x1f"
+#: Stands between the words that go to the library together, and how many do.
+_MARK, _TOGETHER = "\x7f", 100
 #: Id after each document.
 END_ID = 2
 
@@ -198,10 +201,11 @@ class ShardReader:
 class LibraryEncoder:
     """The tokenizers library's ids of whole texts.
 
-    The vocabulary's normalisation and word pattern do not cross white space, so each
-    white-space-delimited word goes to the library once and its ids are kept: the ids of a whole text are
-    those of its words in a row. New words go there some at a time, with a mark of one id between them. Texts that
-    hold the mark, a special token's string or odd separators go to the library whole.
+    The vocabulary's normalisation and word pattern do not cross white space, so each word between ASCII white space
+    goes to the library once and its ids are kept: the ids of a whole text are those of its words in a row. Arrow cuts
+    the texts and finds the distinct words of many texts, so Python sees those alone. A stop or comma that ends a word
+    goes to the library by itself, a word of ASCII letters in lower case, where the vocabulary's own forms and pieces are so. New words
+    go there some at a time, with a mark of one id between them. Texts that hold the mark or a special token's string go there whole.
     """
 
     def __init__(self, path: str):
@@ -216,32 +220,52 @@ class LibraryEncoder:
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.together = _TOGETHER if len(mark) == 1 else 1
         self.mark = mark[0] if mark else -1
-
-    def _whole(self, text: str) -> bool:
-        return any(map(text.__contains__, [_MARK, *_ODD, *self.special]))
+        # whether a stop or comma after a letter is a piece of its own, and letters of both cases are the same
+        form, pieces = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.stops = pieces is not None and all(len(pieces.pre_tokenize_str(f"a{x}")) == 2 for x in ".,")
+        self.folds = form is not None and form.normalize_str(ascii_uppercase) == ascii_lowercase and not any(map(str.isalpha, self.special))
+        self.ends = {x: pa.scalar(ids.tobytes(), pa.large_binary()) for x, ids in zip(".,", self._library([".", ","]), strict=True)}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        step, between = self.together, f" {_MARK} "
-        for i, ids in enumerate(self._library([between.join(new[i : i + step]) for i in range(0, len(new), step)])):
-            raw, at, part = ids.tobytes(), 0, []
-            for cut in np.flatnonzero(ids == self.mark).tolist() if step > 1 else ():
-                part.append(raw[at : 4 * cut])
-                at = 4 * cut + 4
-            self.words.update(zip(new[i * step : (i + 1) * step], [*part, raw[at:]], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [*map(self._whole, texts)]
-        split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        wanted = set().union(*split)
+    def _learn(self, new: list[str]) -> list[bytes]:
+        step, between, found = self.together, f" {_MARK} ", []
+        for ids in self._library([between.join(new[i : i + step]) for i in range(0, len(new), step)]):
+            raw, at = ids.tobytes(), 0
+            for place in np.flatnonzero(ids == self.mark).tolist() if step > 1 else ():
+                found.append(raw[at : 4 * place])
+                at = 4 * place + 4
+            found.append(raw[at:])
+        self.words.update(zip(new, found, strict=True))
+        return found
+
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """Ids of different words: those of what stands before a stop or comma, then that one's own."""
+        stop = pc.and_(pc.match_substring_regex(words, "[A-Za-z][.,]$"), self.stops)
+        own = pc.if_else(stop, pc.utf8_slice_codeunits(words, 0, -1), words)
+        own = pc.if_else(pc.and_(pc.ascii_is_alpha(own), self.folds), pc.ascii_lower(own), own).dictionary_encode()
+        found = own.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.words.get, found)]
         if len(self.words) > WORDS:  # those in use stay
-            self.words = {w: self.words[w] for w in wanted if w in self.words}
-        self._learn([*wanted.difference(self.words)])
-        get = self.words.__getitem__
-        odd = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [next(odd).tobytes() if w else b"".join(map(get, s)) for s, w in zip(split, whole, strict=True)]
+            self.words = {w: x for w, x in zip(found, ids, strict=True) if x is not None}
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, self._learn([found[i] for i in new]), strict=True):
+            ids[i] = x
+        end = pc.if_else(stop, pc.if_else(pc.ends_with(words, "."), self.ends["."], self.ends[","]), pa.scalar(b"", pa.large_binary()))
+        return pc.binary_join_element_wise(pa.array(ids, pa.large_binary()).take(own.indices), end, pa.scalar(b"", pa.large_binary()))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = reduce(pc.or_, [pc.match_substring(texts, x) for x in [_MARK, *self.special]])
+        split = pc.ascii_split_whitespace(pc.if_else(whole, "", texts))
+        coded = split.flatten().dictionary_encode()
+        # the ids of all words in a row
+        row = self._distinct(coded.dictionary).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(row).to_numpy())])[split.offsets.to_numpy()].tolist()
+        raw = memoryview(row.buffers()[2] or b"")
+        odd = iter(self._library(texts.filter(whole).to_pylist()))
+        return [next(odd).tobytes() if w else raw[a:b].tobytes() for w, (a, b) in zip(whole.to_pylist(), pairwise(ends), strict=True)]
 
 
 @lru_cache(2)
@@ -260,7 +284,7 @@ def encode(docs: DataFrame, path: str, bounds: list[int], end_id: int = END_ID)
         caches_of("sst", library.cache_clear)
         for batch in batches:
             for part in in_parts(batch, 1):
-                ids = [narrow(x + end) for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [narrow(x + end) for x in encoder.encode(part.column(1).fill_null(""))]
                 keys = part.column(0).to_pylist()
                 num = np.array([-(1 << 63) if k is None else k for k in keys], dtype=np.int64)
                 low, high = np.searchsorted(cuts, num, "left"), np.searchsorted(cuts, num, "right")

@@ -77,6 +77,29 @@ def test_bpe_letters_of_later_unicode(library):
             assert b.encode(text) == struct.pack(f"<{len(want.ids)}I", *want.ids), ascii(text)
 
 
+def test_library_words_go_there_once_in_any_case_and_before_stops():
+    e = sst.LibraryEncoder(vocabulary())
+    sent, whole = [], e._library
+
+    def library_of(texts):
+        sent.extend(x for t in texts for x in t.split(" \x7f ") if x)
+        return whole(texts)
+
+    e._library = library_of
+    got = e.encode(["Winter winter, WINTER. winter", "Winter,", ""])
+    assert sent == ["winter"] and got[1:] == [got[0][4:12], b""] and len(got[0]) == 6 * 4
+
+
+def test_library_words_before_stops_are_the_library(library, monkeypatch):
+    monkeypatch.setattr(sst, "WORDS", 100)
+    rnd, e = random.Random(7), sst.LibraryEncoder(vocabulary())
+    parts = ["a", "Th", "K", "É", "e\u0301", "h\u0331", "'s", "'", ".", ",", "!", "3", "\x1c", "\xa0", "\u0558", "😀", " ", "\t", "\n", "\x7f", "<|ENDOFTEXT|>", "<|endoftext|>"]
+    for _ in range(40):
+        some = ["".join(rnd.choice(parts[: rnd.choice([-2, -3, None])]) for _ in range(rnd.randint(0, 30))) for _ in range(20)]
+        want = [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in library.encode_batch(some, add_special_tokens=False)]
+        assert e.encode(some) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_automaton_lists_all_entries(seed):
     rnd = random.Random(seed)
